@@ -1,7 +1,7 @@
 """Collection cleaning: boilerplate, null handling, phrase stripping, text assembly, dedup.
 
-All operators are narrow (map-only) except ``dedupe_text``, which is a grouped ``min_by``
-aggregate: partial aggregation collapses copies on the map side, so a text repeated in a third
+All operators are narrow (map-only) except ``dedupe_text``, which groups on a fixed-width hash of
+the text: partial aggregation collapses copies on the map side, so a text repeated in a third
 of all rows costs one row per partition in the shuffle, not a third of the data in one task.
 """
 
@@ -60,16 +60,25 @@ def product_text(df: DataFrame, title: str = "title", description: str = "descri
                                        F.coalesce(F.col(description), F.lit(""))))
 
 
+def text_key(cols: Sequence[str]) -> Column:
+    """SHA-256 of the tuple (NULL distinct from any string): a fixed-width grouping key."""
+    return F.sha2(F.to_json(F.struct(*[F.col(c).alias(f"c{i}") for i, c in enumerate(cols)])), 256)
+
+
 def dedupe_text(df: DataFrame, subset: Sequence[str] = ("description", "title"),
                 order_by: Sequence[str] = ("id",)) -> DataFrame:
     """Keep the first row (smallest ``order_by``) of each distinct ``subset`` tuple; NULLs group
-    together. Expressed as ``groupBy(subset).agg(min_by(row, order))`` so that partial
-    aggregation bounds the shuffle by distinct texts per partition, whatever the skew."""
-    cols = df.columns
-    order = F.struct(*[F.col(c) for c in order_by]) if len(order_by) > 1 else F.col(order_by[0])
-    agg = df.groupBy(*[F.col(c) for c in subset]).agg(
-        F.min_by(F.struct(*[F.col(c).alias(c) for c in cols]), order).alias("_row"))
-    return agg.select(*[F.col("_row")[c].alias(c) for c in cols])
+    together. Plan: ``groupBy(sha256(subset)).agg(min(order))`` -- a hash aggregate with
+    map-side partial aggregation over fixed-width keys, so a text copied into a third of all rows
+    shuffles one row per partition -- then a semi join back on (key, order)."""
+    key = text_key(subset)
+    keyed = df.withColumn("_k", key)
+    if len(order_by) == 1:
+        first = keyed.groupBy("_k").agg(F.min(order_by[0]).alias(order_by[0]))
+    else:
+        m = keyed.groupBy("_k").agg(F.min(F.struct(*[F.col(c) for c in order_by])).alias("_m"))
+        first = m.select("_k", *[F.col("_m")[c].alias(c) for c in order_by])
+    return keyed.join(first, ["_k", *order_by], "left_semi").drop("_k")
 
 
 def clean_collection(df: DataFrame, d: str = "description", t: str = "title") -> DataFrame:

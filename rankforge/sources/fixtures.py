@@ -71,9 +71,9 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
                             out_doc="doc_id", out_pat="item_id").withColumn("hit", F.lit(True))
     pool = docs.select("doc_id", F.pmod("doc_id", F.lit(QREL_POOL_MOD)).alias("k")).join(
         bench.select("item_id", F.pmod("item_id", F.lit(QREL_POOL_MOD)).alias("k")), "k"
-    ).select("doc_id", "item_id").join(hits, ["doc_id", "item_id"], "left_anti") \
-        .withColumn("hit", F.lit(False))
-    pairs = hits.unionByName(pool).join(labels, "doc_id", "left")
+    ).select("doc_id", "item_id", F.lit(False).alias("hit"))
+    pairs = hits.unionByName(pool).groupBy("doc_id", "item_id").agg(F.max("hit").alias("hit")) \
+        .join(labels, "doc_id", "left")
     shift = F.when(F.col("item_id") % QREL_SHIFTED[0] == QREL_SHIFTED[1], F.lit(QREL_SHIFTED[2])).otherwise(F.lit(0))
     rel = (F.when(F.col("hit"), F.lit(2) + F.coalesce(F.col("quality"), F.lit(0)))
            .when(F.col("quality") == 1, F.lit(1)).otherwise(F.lit(0)))
