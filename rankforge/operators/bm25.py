@@ -167,12 +167,9 @@ def grid_scores(index: BM25Index, queries: DataFrame, pairs: DataFrame, grid: di
     contrib = F.col("qtf") * idf * tf * (F.col("k1") + 1.0) / (
         tf + F.col("k1") * (F.lit(1.0) - F.col("b") + F.col("b") * F.col("doc_len") / index.avgdl))
     s = m.groupBy("g", "qid", "id").agg(F.sum(contrib).alias("score"))
-    params = pairs.sparkSession.createDataFrame(
-        [(r["g"], float(r["b"]), float(r["epsilon"]), float(r["k1"])) for r in rows],
-        "g int, b double, epsilon double, k1 double")
     # every judged pair under every grid point (zero when nothing matched): explode the fixed grid
-    full = pairs.select("qid", "id", F.inline(F.array(*[F.struct(F.lit(r["g"]).alias("g")) for r in rows])))
-    return full.join(s, ["g", "qid", "id"], "left").join(F.broadcast(params), "g") \
+    full = pairs.select("qid", "id", F.inline(arr))
+    return full.join(s, ["g", "qid", "id"], "left") \
         .select("g", "b", "epsilon", "k1", "qid", "id", F.coalesce("score", F.lit(0.0)).alias("score"))
 
 

@@ -118,10 +118,31 @@ def clean_collection_ctes(src: str = "fx_collection", d: str = "description", t:
     ]
 
 
-def bm25_index_ctes(coll: str = "cc", k1: float = 1.2, b: float = 0.9, eps: float = 0.1) -> list[tuple[str, str]]:
+def lemma_ctes(terms: str, vocab: str, out: str) -> list[tuple[str, str]]:
+    """``out(term, lemma)`` for the distinct terms of ``terms(term)`` against ``vocab(term)``."""
+    rules = ", ".join(f"({i + 1}, {lit(s)}, {lit(r)})" for i, (s, r) in enumerate(T.NOUN_DETACHMENT_RULES))
+    return [
+        (f"{out}_t", f"select distinct term from {terms}"),
+        (f"{out}_c", f"""select t.term, r.r, left(t.term, length(t.term) - length(r.suf)) || r.rep as cand
+ from {out}_t t join (select * from (values {rules}) x(r, suf, rep)) r
+ on suffix(t.term, r.suf) and not suffix(t.term, 'ss') and length(t.term) > length(r.suf)
+ union all select term, 0, term from {out}_t"""),
+        (f"{out}_h", f"select term, arg_min(cand, (length(cand), r)) as lemma from {out}_c where cand in (select term from {vocab}) group by term"),
+        (out, f"select t.term, coalesce(h.lemma, t.term) as lemma from {out}_t t left join {out}_h h using (term)"),
+    ]
+
+
+def bm25_index_ctes(coll: str = "cc", k1: float = 1.2, b: float = 0.9, eps: float = 0.1,
+                    lemmatize: bool = False) -> list[tuple[str, str]]:
+    post = "select term, id, cast(count(*) as integer) as tf from (select id, unnest(tokens) as term from bm_tok) group by term, id"
+    if lemmatize:
+        posts = [("bm_post0", post), ("bm_vocab", "select distinct term from bm_post0")] + lemma_ctes("bm_vocab", "bm_vocab", "bm_lm") + [
+            ("bm_post", "select l.lemma as term, p.id, cast(sum(p.tf) as integer) as tf from bm_post0 p join bm_lm l using (term) group by l.lemma, p.id")]
+    else:
+        posts = [("bm_post", post)]
     return [
         ("bm_tok", f"select id, {tokenize('product_text')} as tokens from {coll}"),
-        ("bm_post", "select term, id, cast(count(*) as integer) as tf from (select id, unnest(tokens) as term from bm_tok) group by term, id"),
+        *posts,
         ("bm_dstat", "select id, len(tokens) as doc_len from bm_tok"),
         ("bm_cstat", "select count(*) as n, avg(doc_len) as avgdl from bm_dstat"),
         ("bm_traw", "select term, df, ln((bm_cstat.n - df + 0.5) / (df + 0.5)) as idf_raw from (select term, count(*) as df from bm_post group by term) x, bm_cstat"),
@@ -159,9 +180,16 @@ def metric_ctes(scored: str, p: int, k: int, group: str = "", asc: bool = False,
     return ctes
 
 
-def bm25_judged_scored_ctes(k1: float = 1.2, b: float = 0.9) -> list[tuple[str, str]]:
-    return [
-        ("ev_qt", f"select qid, term, count(*) as qtf from (select qid, unnest({tokenize('text')}) as term from ev_evalq) group by qid, term"),
+def bm25_query_term_ctes(src: str = "ev_evalq", lemmatize: bool = False) -> list[tuple[str, str]]:
+    raw = f"select qid, unnest({tokenize('text')}) as term from {src} where text is not null"
+    if not lemmatize:
+        return [("ev_qt", f"select qid, term, count(*) as qtf from ({raw}) group by qid, term")]
+    return [("ev_qt0", raw)] + lemma_ctes("ev_qt0", "bm_vocab", "ev_lm") + [
+        ("ev_qt", "select q.qid, l.lemma as term, count(*) as qtf from ev_qt0 q join ev_lm l using (term) group by q.qid, l.lemma")]
+
+
+def bm25_judged_scored_ctes(k1: float = 1.2, b: float = 0.9, lemmatize: bool = False) -> list[tuple[str, str]]:
+    return bm25_query_term_ctes("ev_evalq", lemmatize) + [
         ("ev_m", f"""select j.qid, j.docid, sum(qt.qtf * t.idf * p.tf * ({k1} + 1) / (p.tf + {k1} * (1 - {b} + {b} * d.doc_len / c.avgdl))) as score
  from ev_j j join ev_qt qt on j.qid = qt.qid join bm_tstat t on t.term = qt.term
  join bm_post p on p.term = qt.term and p.id = j.docid join bm_dstat d on d.id = j.docid cross join bm_cstat c group by j.qid, j.docid"""),
