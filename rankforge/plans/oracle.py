@@ -54,6 +54,10 @@ from fx_vec_queries q join fx_vec_products p on q.label = p.label or p.id % 20 =
     "fx_generated": ((), """select doc_id as id, text as product_text, string_split(text, chr(10)) as queries from documents"""),
     "fx_runs": ((), """select event_type as run, 1 + cast(floor(cast(json_extract_string(props, '$.k') as int) / 10) as int) as epoch,
  round(avg(value), 6) as value from events group by 1, 2"""),
+    "fx_history": ((), """select run, metric, epoch, value from (select event_type as run,
+ 1 + cast(floor(cast(json_extract_string(props, '$.k') as int) / 10) as int) as epoch,
+ round(avg(value), 6) as mean, round(min(value), 6) as min, round(max(value), 6) as max from events group by 1, 2)
+ unpivot (value for metric in (mean, min, max))"""),
     "fx_log": ((), """select event_id as step, cast(json_extract_string(props, '$.k') as int) as epoch,
  case when event_type in ('click','view') then value end as loss,
  case when event_type = 'purchase' then value end as eval_loss from events"""),

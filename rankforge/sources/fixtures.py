@@ -135,6 +135,18 @@ def runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.groupBy(F.col("event_type").alias("run"), epoch).agg(F.round(F.avg("value"), 6).alias("value"))
 
 
+def history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T16 training history, long form ``(run, metric, epoch, value)``: per event type (run) and
+    epoch the mean / min / max event value as three metrics."""
+    e = table(spark, sf_dir, "events")
+    epoch = (F.lit(1) + F.floor(F.get_json_object("props", "$.k").cast("int") / 10).cast("int")).alias("epoch")
+    agg = e.groupBy(F.col("event_type").alias("run"), epoch).agg(
+        F.round(F.avg("value"), 6).alias("mean"), F.round(F.min("value"), 6).alias("min"),
+        F.round(F.max("value"), 6).alias("max"))
+    return agg.unpivot(["run", "epoch"], ["mean", "min", "max"], "metric", "value") \
+        .select("run", "metric", "epoch", "value")
+
+
 def trainer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T17 ragged trainer log ``(step, epoch, loss, eval_loss)``."""
     e = table(spark, sf_dir, "events")
