@@ -131,6 +131,16 @@ def q_tokenize_corpus(spark, sf):
     return t.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
+@register("tokenized_corpus", O.with_views("select id, len(tokens) as n_tokens, array_to_string(tokens, ' ') as tokens from bm_tok",
+                                           "fx_collection", extra=O.clean_collection_ctes() + O.bm25_index_ctes()[:1]))
+def q_tokenized_corpus(spark, sf):
+    """Token lists persisted as Parquet ``(id, tokens)`` keyed by id, reloaded for tuning."""
+    path = scratch_path(spark, "tokens")
+    bm25.tokenize_corpus(_coll(spark, sf)).write.mode("overwrite").parquet(path)
+    t = spark.read.parquet(path)
+    return t.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
+
+
 @register("tokenize_errors", O.with_views(
     f"select qid, len({O.tokenize('text')}) as n_tokens from fx_queries where text is null", "fx_queries"))
 def q_tokenize_errors(spark, sf):

@@ -35,5 +35,5 @@ def rounded(df: DataFrame, digits: int = 6) -> DataFrame:
 
 
 def load_all():
-    from . import q_clean, q_lexical, q_pairs, q_quality, q_runs, q_synth, q_vectors  # noqa: F401
+    from . import q_clean, q_lexical, q_pairs, q_quality, q_runs, q_synth, q_towers, q_vectors  # noqa: F401
     return QUERIES, ORACLE
