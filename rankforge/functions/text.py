@@ -74,18 +74,33 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def tokenize(text, stopwords: bool = True) -> Column:
-    """Word tokens: split punctuation and clitics, lower-case, keep alphanumeric tokens,
-    drop English stop words. NULL text gives an empty array (it still counts as a document)."""
+def token_text(text) -> Column:
+    """Lower-cased text with punctuation and clitics split off by spaces (tokens = runs of
+    non-space characters). NULL becomes the empty string."""
     t = F.lower(F.coalesce(_col(text), F.lit("")))
     t = F.regexp_replace(t, TOKEN_PUNCT, " ")
     t = F.regexp_replace(t, TOKEN_COLON_COMMA, " $1")
     t = F.regexp_replace(t, TOKEN_CLITIC, " $2")
-    t = F.regexp_replace(t, TOKEN_FINAL_PERIOD, " $1")
-    toks = F.split(t, r"\s+")
-    if stopwords:
-        return F.filter(toks, lambda x: x.rlike(TOKEN_KEEP) & ~x.isin(STOPWORDS_EN))
-    return F.filter(toks, lambda x: x.rlike(TOKEN_KEEP))
+    return F.regexp_replace(t, TOKEN_FINAL_PERIOD, " $1")
+
+
+def keep_token(tok, stopwords: bool = True) -> Column:
+    keep = _col(tok).rlike(TOKEN_KEEP)
+    return keep & ~_col(tok).isin(STOPWORDS_EN) if stopwords else keep
+
+
+def tokenize(text, stopwords: bool = True) -> Column:
+    """Word tokens: split punctuation and clitics, lower-case, keep alphanumeric tokens,
+    drop English stop words. NULL text gives an empty array (it still counts as a document).
+    For whole corpora prefer ``token_rows`` (exploded rows, code-generated filter)."""
+    return F.filter(F.split(token_text(text), r"\s+"), lambda x: keep_token(x, stopwords))
+
+
+def token_rows(df, key: str, text: str, stopwords: bool = True, out: str = "term"):
+    """``(key, term)`` one row per kept token (multiplicity kept): explode + a row-level filter
+    that whole-stage codegen compiles (``rlike`` and an ``InSet`` of stop words)."""
+    ex = df.select(key, F.explode(F.split(token_text(F.col(text)), r"\s+")).alias(out))
+    return ex.filter(keep_token(F.col(out), stopwords))
 
 
 def token_count(text) -> Column:

@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NOUN_DETACHMENT_RULES, tokenize
+from ..functions.text import NOUN_DETACHMENT_RULES, token_rows, tokenize
 
 # Parameters of the untuned build and of the class defaults.
 FIXED_PARAMS = {"k1": 1.2, "b": 0.9, "epsilon": 0.1}
@@ -58,10 +58,10 @@ class BM25Index:
     lemmas: DataFrame | None = None  # term -> lemma, when built with lemmatize=True
 
     def corpus_stats(self) -> DataFrame:
-        return self.doc_stats.agg(
-            F.count("*").alias("corpus_size"), F.avg("doc_len").alias("avgdl"),
-        ).select("corpus_size", "avgdl", F.lit(self.k1).alias("k1"), F.lit(self.b).alias("b"),
-                 F.lit(self.epsilon).alias("epsilon"))
+        """One row: ``corpus_size, avgdl, k1, b, epsilon, mean_idf`` (all lazy scalars)."""
+        return self.postings.agg(F.count("*").alias("_n")).select(
+            self.n_docs.alias("corpus_size"), self.avgdl.alias("avgdl"), F.lit(self.k1).alias("k1"),
+            F.lit(self.b).alias("b"), F.lit(self.epsilon).alias("epsilon"))
 
 
 def tokenize_corpus(df: DataFrame, id_col: str = "id", text_col: str = "product_text",
@@ -91,20 +91,42 @@ def lemma_map(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return t.join(best, "term", "left").select("term", F.coalesce("lemma", "term").alias("lemma"))
 
 
-def build_index(tokens: DataFrame, k1: float = FIXED_PARAMS["k1"], b: float = FIXED_PARAMS["b"],
-                epsilon: float = FIXED_PARAMS["epsilon"], lemmatize: bool = False) -> BM25Index:
-    """Index over ``(id, tokens)``."""
-    exploded = tokens.select("id", F.explode("tokens").alias("term"))
-    postings = exploded.groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
+def build_index(docs: DataFrame, k1: float = FIXED_PARAMS["k1"], b: float = FIXED_PARAMS["b"],
+                epsilon: float = FIXED_PARAMS["epsilon"], lemmatize: bool = False, id_col: str = "id",
+                text_col: str = "product_text", tokens_col: str | None = None,
+                materialize: bool = True) -> BM25Index:
+    """Index over a keyed text table (or a pre-tokenised ``tokens_col`` array).
+
+    The corpus is tokenised exactly once: the postings exchange is the only consumer of the
+    text, and document lengths, document frequencies and avgdl are all derived from it (AQE
+    reuses that exchange across the main plan and the scalar subqueries). Documents with no
+    token count in N and in avgdl but never match, so they need no doc_stats row."""
+    if tokens_col:
+        rows = docs.select(F.col(id_col).alias("id"), F.explode(tokens_col).alias("term"))
+    else:
+        rows = token_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), "id", "_t")
+    # one sentinel row (term NULL) per document: the same pass also counts N, empty docs included
+    sentinel = docs.select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("term"))
+    counted = rows.unionByName(sentinel).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
+    if materialize:
+        # reliable checkpoint in spark.checkpoint.dir: cuts the lineage (text scan, cleaning,
+        # tokenising) so every index part and every scalar reads the materialised postings
+        counted = counted.checkpoint(eager=True)
+    postings = counted.filter(F.col("term").isNotNull())
+    n_docs = counted.filter(F.col("term").isNull()).agg(F.sum("tf").cast("long")).scalar()
+    return index_from_postings(postings, n_docs, k1, b, epsilon, lemmatize)
+
+
+def index_from_postings(postings: DataFrame, n_docs: Column, k1: float, b: float, epsilon: float,
+                        lemmatize: bool = False) -> BM25Index:
     lemmas = None
     if lemmatize:
         vocab = postings.select("term").distinct()
         lemmas = lemma_map(vocab, vocab)
         postings = postings.join(lemmas, "term").groupBy(F.col("lemma").alias("term"), "id") \
             .agg(F.sum("tf").cast("int").alias("tf"))
-    doc_stats = tokens.select("id", F.size("tokens").alias("doc_len"))
-    n_docs = doc_stats.agg(F.count("*")).scalar()
-    avgdl = doc_stats.agg(F.avg("doc_len")).scalar()
+    doc_stats = postings.groupBy("id").agg(F.sum("tf").cast("int").alias("doc_len"))
+    avgdl = postings.agg(F.sum("tf").cast("double")).scalar() / n_docs
     df_ = postings.groupBy("term").agg(F.count("*").alias("df"))
     with_raw = df_.withColumn(
         "idf_raw", F.log((n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
@@ -190,10 +212,14 @@ def search(index: BM25Index, queries: DataFrame, n: int = 5) -> DataFrame:
 
 
 def save_index(index: BM25Index, path: str) -> None:
+    """Write postings once, then derive and write the other parts from the written postings
+    (the corpus is not tokenised again, and the written table cuts the lineage)."""
+    spark = index.postings.sparkSession
     index.postings.write.mode("overwrite").parquet(f"{path}/postings")
-    index.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
-    index.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
-    index.corpus_stats().withColumn("mean_idf", index.mean_idf) \
+    saved = index_from_postings(spark.read.parquet(f"{path}/postings"), index.n_docs, index.k1, index.b, index.epsilon)
+    saved.doc_stats.write.mode("overwrite").parquet(f"{path}/doc_stats")
+    saved.term_stats.write.mode("overwrite").parquet(f"{path}/term_stats")
+    saved.corpus_stats().withColumn("mean_idf", saved.mean_idf) \
         .write.mode("overwrite").parquet(f"{path}/corpus_stats")
 
 

@@ -33,7 +33,7 @@ def evaluate_bm25(queries: DataFrame, qrels: DataFrame, collection: DataFrame,
     """Macro NDCG@p / precision@k / recall@k of BM25 over the judged documents."""
     if index is None:
         prm = {**bm25.FIXED_PARAMS, **params}
-        index = bm25.build_index(bm25.tokenize_corpus(collection), lemmatize=lemmatize, **prm)
+        index = bm25.build_index(collection, lemmatize=lemmatize, **prm)
     q, judged = eval_inputs(queries, qrels, collection)
     evalq = q.filter(F.col("text").isNotNull())
     scored = score_judged(index, evalq, judged)
@@ -51,7 +51,7 @@ def tune_bm25(queries: DataFrame, qrels: DataFrame, collection: DataFrame, n_sam
               lemmatize: bool = False) -> DataFrame:
     """Grid search over (b, epsilon, k1) scored by NDCG on sampled queries; postings built once
     and the grid applied to matched rows only. Ties go to the first grid point."""
-    index = bm25.build_index(bm25.tokenize_corpus(collection), lemmatize=lemmatize)
+    index = bm25.build_index(collection, lemmatize=lemmatize)
     q, judged = eval_inputs(queries, qrels, collection)
     sampled = sample_queries(q, n_sample, seed)
     evalq = sampled.filter(F.col("text").isNotNull())

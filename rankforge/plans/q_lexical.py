@@ -22,12 +22,12 @@ def _coll(spark, sf):
 
 def _index(spark, sf, lemmatize=False, **params):
     prm = {**bm25.FIXED_PARAMS, **params}
-    return bm25.build_index(bm25.tokenize_corpus(_coll(spark, sf)), lemmatize=lemmatize, **prm)
+    return bm25.build_index(_coll(spark, sf), lemmatize=lemmatize, **prm)
 
 
 def _scored(spark, sf, lemmatize=False, **params):
     coll = _coll(spark, sf)
-    index = bm25.build_index(bm25.tokenize_corpus(coll), lemmatize=lemmatize, **{**bm25.FIXED_PARAMS, **params})
+    index = bm25.build_index(coll, lemmatize=lemmatize, **{**bm25.FIXED_PARAMS, **params})
     q, judged = lexical.eval_inputs(fx.queries(spark, sf), fx.qrels(spark, sf), coll)
     evalq = q.filter(F.col("text").isNotNull())
     return evalq, lexical.score_judged(index, evalq, judged)

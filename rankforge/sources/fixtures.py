@@ -59,11 +59,25 @@ def queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_PERSISTED: dict = {}
+
+
 def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """T4 judgements ``(qid, docid, relevance_score)``.
 
     Documents containing the passage get 2 + quality, pool members (doc_id % 50 = item_id % 50)
-    get 1 if quality = 1 else 0."""
+    get 1 if quality = 1 else 0. Judgements are an input table (a file in the reference); the
+    derivation runs a Python containment scan, so it is persisted once per session and source
+    and shared by every plan that reads it (blocks lost with an executor are recomputed)."""
+    key = (id(spark.sparkContext._jsc), sf_dir.rstrip("/"))
+    df = _PERSISTED.get(key)
+    if df is None:
+        df = _qrels(spark, sf_dir).persist()
+        _PERSISTED[key] = df
+    return df
+
+
+def _qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     bench = table(spark, sf_dir, "benchmark").select("item_id", "text")
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
