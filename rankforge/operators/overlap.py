@@ -11,6 +11,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import bleu_tokens, ngrams, rouge_tokens
 
@@ -124,13 +125,13 @@ def rouge_lsum_row(pred: str, ref: str) -> float:
     return _fscore(hits, n, m)
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def lcs_length_udf(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([lcs_len(list(x) if x is not None else [], list(y) if y is not None else []) for x, y in zip(a, b)],
                      dtype="int64")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def rouge_lsum_udf(pred: pd.Series, ref: pd.Series) -> pd.Series:
     return pd.Series([rouge_lsum_row(p, r) for p, r in zip(pred, ref)], dtype="float64")
 

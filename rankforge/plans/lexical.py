@@ -65,6 +65,7 @@ def tune_bm25(queries: DataFrame, qrels: DataFrame, collection: DataFrame, n_sam
         "g int, b double, epsilon double, k1 double")
     per = ranking.ranking_metrics(scored, p, k, group=("g",))
     # queries without judged docs count as undefined NDCG: they do not change the mean of the rest
-    score = per.groupBy("g").agg(F.avg("ndcg").alias("score"))
+    # rounded so that summation order cannot break a tie that the first-in-grid rule decides
+    score = per.groupBy("g").agg(F.round(F.avg("ndcg"), 9).alias("score"))
     full = params.join(score, "g", "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
     return ranking.argmax_config(full, ["b", "epsilon", "k1"], "score", "g")

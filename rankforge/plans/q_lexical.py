@@ -214,7 +214,7 @@ def _grid_sql():
         ("gt_scored", """select g.g, j.qid, j.docid, j.relevance_score, round(coalesce(m.score, 0.0), 9) as score
  from gt_j j cross join gt_grid g left join gt_m m on m.g = g.g and m.qid = j.qid and m.docid = j.docid"""),
     ] + O.metric_ctes("gt_scored", 5, 10, group="g") + [
-        ("gt_score", "select g.g, g.b, g.epsilon, g.k1, coalesce(avg(m.ndcg), 0.0) as score from gt_grid g left join mt_per m using (g) group by g.g, g.b, g.epsilon, g.k1"),
+        ("gt_score", "select g.g, g.b, g.epsilon, g.k1, coalesce(round(avg(m.ndcg), 9), 0.0) as score from gt_grid g left join mt_per m using (g) group by g.g, g.b, g.epsilon, g.k1"),
     ]
     return O.with_views("select b, epsilon, k1, round(score, 6) as score from gt_score order by score desc, g limit 1", *VIEWS3, extra=ctes)
 
