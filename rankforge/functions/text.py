@@ -7,6 +7,7 @@ partition without a shuffle.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,6 +41,9 @@ TOKEN_PUNCT = r'[“”«»?!;@#$%&\[\](){}<>"`]|\.\.\.|--'   # -> space
 TOKEN_COLON_COMMA = r"[:,]([^0-9]|$)"                      # -> ' ' + group 1
 TOKEN_CLITIC = r"(n't|'s|'m|'d|'ll|'re|'ve|')(\s|$)"       # -> ' ' + group 2
 TOKEN_FINAL_PERIOD = r"\.(\s|$)"                           # -> ' ' + group 1
+# Same matches as TOKEN_CLITIC with the whitespace left in place (lookahead) -> ' ';
+# two alternatives to try per position instead of eight (Java regex only; SQL uses the above).
+TOKEN_CLITIC_FAST = r"(?:n't|'(?:s|m|d|ll|re|ve)?)(?=\s|$)"
 TOKEN_KEEP = r"^[\p{L}\p{N}]+$"                            # isalnum()
 
 # Noun detachment rules (suffix -> replacement), tried in this order.
@@ -80,7 +84,7 @@ def token_text(text) -> Column:
     t = F.lower(F.coalesce(_col(text), F.lit("")))
     t = F.regexp_replace(t, TOKEN_PUNCT, " ")
     t = F.regexp_replace(t, TOKEN_COLON_COMMA, " $1")
-    t = F.regexp_replace(t, TOKEN_CLITIC, " $2")
+    t = F.regexp_replace(t, TOKEN_CLITIC_FAST, " ")
     return F.regexp_replace(t, TOKEN_FINAL_PERIOD, " $1")
 
 
@@ -103,6 +107,32 @@ def token_rows(df, key: str, text: str, stopwords: bool = True, out: str = "term
     return ex.filter(keep_token(F.col(out), stopwords))
 
 
+def python_tokenizer(text: str | None) -> list[str]:
+    """The same rules as ``tokenize`` for one string in plain Python (``regex`` module for the
+    ``\\p{..}`` classes) -- an example of a user tokenizer callable for ``bm25.build_index``."""
+    import regex
+
+    a = regex.ASCII  # \s is ASCII whitespace, as in Java regex
+    t = (text or "").lower()
+    t = regex.sub(TOKEN_PUNCT, " ", t)
+    t = regex.sub(TOKEN_COLON_COMMA, r" \1", t)
+    t = regex.sub(TOKEN_CLITIC, r" \2", t, flags=a)
+    t = regex.sub(TOKEN_FINAL_PERIOD, r" \1", t, flags=a)
+    stop = set(STOPWORDS_EN)
+    return [w for w in regex.split(r"\s+", t, flags=a) if regex.fullmatch(r"[\p{L}\p{N}]+", w) and w not in stop]
+
+
+def tokenizer_udf(fn):
+    """Wrap a per-text Python tokenizer as an Arrow-batched pandas UDF -> ARRAY<STRING>."""
+    from pyspark.sql import types as T
+
+    @F.pandas_udf(T.ArrayType(T.StringType()))
+    def run(texts: pd.Series) -> pd.Series:
+        return pd.Series([list(fn(x)) for x in texts])
+
+    return run
+
+
 def token_count(text) -> Column:
     """Whitespace token count; NULL stays NULL."""
     return F.size(F.filter(F.split(F.trim(_col(text)), r"\s+"), lambda x: x != F.lit("")))

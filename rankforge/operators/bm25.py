@@ -24,7 +24,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import NOUN_DETACHMENT_RULES, token_rows, tokenize
+from ..functions.text import NOUN_DETACHMENT_RULES, token_rows, tokenize, tokenizer_udf
 
 # Parameters of the untuned build and of the class defaults.
 FIXED_PARAMS = {"k1": 1.2, "b": 0.9, "epsilon": 0.1}
@@ -94,14 +94,17 @@ def lemma_map(terms: DataFrame, vocabulary: DataFrame) -> DataFrame:
 def build_index(docs: DataFrame, k1: float = FIXED_PARAMS["k1"], b: float = FIXED_PARAMS["b"],
                 epsilon: float = FIXED_PARAMS["epsilon"], lemmatize: bool = False, id_col: str = "id",
                 text_col: str = "product_text", tokens_col: str | None = None,
-                materialize: bool = True) -> BM25Index:
+                materialize: bool = True, tokenizer=None) -> BM25Index:
     """Index over a keyed text table (or a pre-tokenised ``tokens_col`` array).
 
     The corpus is tokenised exactly once: the postings exchange is the only consumer of the
     text, and document lengths, document frequencies and avgdl are all derived from it (AQE
     reuses that exchange across the main plan and the scalar subqueries). Documents with no
     token count in N and in avgdl but never match, so they need no doc_stats row."""
-    if tokens_col:
+    if tokenizer is not None:
+        # user callable text -> list[str], run batch-wise through Arrow (slow path by design)
+        rows = docs.select(F.col(id_col).alias("id"), F.explode(tokenizer_udf(tokenizer)(F.col(text_col))).alias("term"))
+    elif tokens_col:
         rows = docs.select(F.col(id_col).alias("id"), F.explode(tokens_col).alias("term"))
     else:
         rows = token_rows(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("_t")), "id", "_t")

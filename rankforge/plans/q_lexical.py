@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.text import tokenize
+from ..functions.text import python_tokenizer, tokenize
 from ..operators import bm25, clean, ranking
 from ..session import scratch_path
 from ..sources import fixtures as fx
@@ -64,6 +64,21 @@ def q_bm25_fixed(spark, sf):
     return rounded(ranking.per_query_metrics(evalq, scored, 10, 10))
 
 
+@register("macro_mean", O.with_views(_MACRO, *VIEWS3, extra=_ctes() + O.metric_ctes("ev_scored", 10, 10, evaluated="ev_evalq")))
+def q_macro_mean(spark, sf):
+    """Mean over queries of NDCG@10 / P@10 / R@10 (undefined NDCG excluded and counted)."""
+    evalq, scored = _scored(spark, sf)
+    return rounded(ranking.macro_mean(ranking.per_query_metrics(evalq, scored, 10, 10)))
+
+
+@register("bm25_custom_tokenizer", O.with_views("select term, id, tf from bm_post", "fx_collection",
+                                                extra=O.clean_collection_ctes() + O.bm25_index_ctes()))
+def q_bm25_custom_tokenizer(spark, sf):
+    """Index built with a user tokenizer callable (run batch-wise as a pandas UDF); here the
+    callable re-implements the built-in rules in Python, so postings must be identical."""
+    return bm25.build_index(_coll(spark, sf), tokenizer=python_tokenizer).postings
+
+
 @register("ndcg_at_p", O.with_views("select qid, ndcg from mt_pq", *VIEWS3,
                                     extra=_ctes() + O.metric_ctes("ev_scored", 10, 10, evaluated="ev_evalq")))
 def q_ndcg_at_p(spark, sf):

@@ -82,6 +82,14 @@ def q_top_terms(spark, sf):
     return rounded(tfidf.top_terms(w, "pair_id", 10).select("pair_id", "term", "rank", "weight"))
 
 
+@register("tfidf_top_terms", _tf("""select pair_id, term, rank, round(weight, 6) as weight from (select pair_id, term, weight,
+ cast(row_number() over (partition by pair_id order by weight desc, term) as integer) as rank from tf_w where side = 'query') where rank <= 10"""))
+def q_tfidf_top_terms(spark, sf):
+    """J5 (= E7): the data-quality notebook's top TF-IDF terms per query."""
+    w = _weights(spark, sf).filter(F.col("side") == "query").drop("side")
+    return rounded(tfidf.top_terms(w, "pair_id", 10).select("pair_id", "term", "rank", "weight"))
+
+
 def _bucket_sql(key, seed=SEED):
     return f"(('0x' || substr(md5(concat(cast({key} as varchar), ':', '{seed}')), 1, 8))::BIGINT % 10000)"
 
