@@ -56,6 +56,7 @@ class BM25Index:
     b: float
     epsilon: float
     lemmas: DataFrame | None = None  # term -> lemma, when built with lemmatize=True
+    doc_ids: DataFrame | None = None  # every indexed document id (from the materialised pass)
 
     def corpus_stats(self) -> DataFrame:
         """One row: ``corpus_size, avgdl, k1, b, epsilon, mean_idf`` (all lazy scalars)."""
@@ -111,17 +112,28 @@ def build_index(docs: DataFrame, k1: float = FIXED_PARAMS["k1"], b: float = FIXE
     # one sentinel row (term NULL) per document: the same pass also counts N, empty docs included
     sentinel = docs.select(F.col(id_col).alias("id"), F.lit(None).cast("string").alias("term"))
     counted = rows.unionByName(sentinel).groupBy("term", "id").agg(F.count("*").cast("int").alias("tf"))
+    postings = counted.filter(F.col("term").isNotNull())
     if materialize:
         # reliable checkpoint in spark.checkpoint.dir: cuts the lineage (text scan, cleaning,
-        # tokenising) so every index part and every scalar reads the materialised postings
+        # tokenising) so every index part reads the materialised postings; the corpus scalars
+        # are then two small aggregates over it, passed on as literals
         counted = counted.checkpoint(eager=True)
-    postings = counted.filter(F.col("term").isNotNull())
-    n_docs = counted.filter(F.col("term").isNull()).agg(F.sum("tf").cast("long")).scalar()
-    return index_from_postings(postings, n_docs, k1, b, epsilon, lemmatize)
+        postings = counted.filter(F.col("term").isNotNull())
+        st = counted.agg(F.sum(F.when(F.col("term").isNull(), F.col("tf"))).alias("n"),
+                         F.sum(F.when(F.col("term").isNotNull(), F.col("tf"))).alias("total")).first()
+        n = int(st["n"] or 0)
+        avgdl = F.lit(float(st["total"] or 0) / n) if n else F.lit(None).cast("double")
+        idx = index_from_postings(postings, F.lit(n).cast("long"), k1, b, epsilon, lemmatize, avgdl=avgdl, eager=True)
+    else:
+        n_docs = counted.filter(F.col("term").isNull()).agg(F.sum("tf").cast("long")).scalar()
+        idx = index_from_postings(postings, n_docs, k1, b, epsilon, lemmatize)
+    idx.doc_ids = counted.filter(F.col("term").isNull()).select("id")
+    return idx
 
 
 def index_from_postings(postings: DataFrame, n_docs: Column, k1: float, b: float, epsilon: float,
-                        lemmatize: bool = False) -> BM25Index:
+                        lemmatize: bool = False, avgdl: Column | None = None, eager: bool = False) -> BM25Index:
+    """Derived parts; scalars are lazy subqueries, or (``eager``) small aggregates run now."""
     lemmas = None
     if lemmatize:
         vocab = postings.select("term").distinct()
@@ -129,11 +141,16 @@ def index_from_postings(postings: DataFrame, n_docs: Column, k1: float, b: float
         postings = postings.join(lemmas, "term").groupBy(F.col("lemma").alias("term"), "id") \
             .agg(F.sum("tf").cast("int").alias("tf"))
     doc_stats = postings.groupBy("id").agg(F.sum("tf").cast("int").alias("doc_len"))
-    avgdl = postings.agg(F.sum("tf").cast("double")).scalar() / n_docs
+    if avgdl is None:
+        avgdl = postings.agg(F.sum("tf").cast("double")).scalar() / n_docs
     df_ = postings.groupBy("term").agg(F.count("*").alias("df"))
     with_raw = df_.withColumn(
         "idf_raw", F.log((n_docs - F.col("df") + F.lit(0.5)) / (F.col("df") + F.lit(0.5))))
-    mean_idf = with_raw.agg(F.avg("idf_raw")).scalar()
+    if eager:
+        m = with_raw.agg(F.avg("idf_raw")).first()[0]
+        mean_idf = F.lit(m).cast("double")
+    else:
+        mean_idf = with_raw.agg(F.avg("idf_raw")).scalar()
     term_stats = with_raw.withColumn(
         "idf", F.when(F.col("idf_raw") < 0, F.lit(epsilon) * mean_idf).otherwise(F.col("idf_raw")))
     return BM25Index(postings, doc_stats, term_stats, n_docs, avgdl, mean_idf, k1, b, epsilon, lemmas)

@@ -34,7 +34,9 @@ def evaluate_bm25(queries: DataFrame, qrels: DataFrame, collection: DataFrame,
     if index is None:
         prm = {**bm25.FIXED_PARAMS, **params}
         index = bm25.build_index(collection, lemmatize=lemmatize, **prm)
-    q, judged = eval_inputs(queries, qrels, collection)
+    # the materialised index already lists every document id: no second pass over the texts
+    ids = index.doc_ids if index.doc_ids is not None else collection
+    q, judged = eval_inputs(queries, qrels, ids)
     evalq = q.filter(F.col("text").isNotNull())
     scored = score_judged(index, evalq, judged)
     pq = ranking.per_query_metrics(evalq, scored, p, k)
@@ -52,7 +54,7 @@ def tune_bm25(queries: DataFrame, qrels: DataFrame, collection: DataFrame, n_sam
     """Grid search over (b, epsilon, k1) scored by NDCG on sampled queries; postings built once
     and the grid applied to matched rows only. Ties go to the first grid point."""
     index = bm25.build_index(collection, lemmatize=lemmatize)
-    q, judged = eval_inputs(queries, qrels, collection)
+    q, judged = eval_inputs(queries, qrels, index.doc_ids)
     sampled = sample_queries(q, n_sample, seed)
     evalq = sampled.filter(F.col("text").isNotNull())
     j = judged.join(evalq.select("qid"), "qid", "left_semi")

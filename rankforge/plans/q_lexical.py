@@ -28,7 +28,7 @@ def _index(spark, sf, lemmatize=False, **params):
 def _scored(spark, sf, lemmatize=False, **params):
     coll = _coll(spark, sf)
     index = bm25.build_index(coll, lemmatize=lemmatize, **{**bm25.FIXED_PARAMS, **params})
-    q, judged = lexical.eval_inputs(fx.queries(spark, sf), fx.qrels(spark, sf), coll)
+    q, judged = lexical.eval_inputs(fx.queries(spark, sf), fx.qrels(spark, sf), index.doc_ids)
     evalq = q.filter(F.col("text").isNotNull())
     return evalq, lexical.score_judged(index, evalq, judged)
 
