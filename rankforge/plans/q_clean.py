@@ -66,10 +66,10 @@ def q_clean_collection(spark, sf):
 
 
 @register("null_counts", O.with_views(
-    """select 'raw' as stage, count(*) as n_rows, count_if(id is null) as id_nulls, count_if(title is null) as title_nulls,
- count_if(description is null) as description_nulls from fx_collection
+    """select 'raw' as stage, count(*) as n_rows, cast(count_if(id is null) as bigint) as id_nulls, cast(count_if(title is null) as bigint) as title_nulls,
+ cast(count_if(description is null) as bigint) as description_nulls from fx_collection
  union all
- select 'clean', count(*), count_if(id is null), count_if(title is null), count_if(description is null) from cc""",
+ select 'clean', count(*), cast(count_if(id is null) as bigint), cast(count_if(title is null) as bigint), cast(count_if(description is null) as bigint) from cc""",
     "fx_collection", extra=O.clean_collection_ctes()))
 def q_null_counts(spark, sf):
     raw = fx.collection(spark, sf)
@@ -99,7 +99,7 @@ def q_describe_numeric(spark, sf):
 
 
 @register("describe_all", O.with_views(" union all ".join(
-    f"""select '{c}' as "column", sum(n) as count, count(*) as unique, arg_min(v, (-n, v)) as top, max(n) as freq
+    f"""select '{c}' as "column", cast(sum(n) as bigint) as count, count(*) as unique, arg_min(v, (-n, v)) as top, max(n) as freq
  from (select {c} as v, count(*) as n from cc where {c} is not null group by {c})""" for c in ("title", "description", "product_text")),
     "fx_collection", extra=O.clean_collection_ctes()))
 def q_describe_all(spark, sf):
@@ -139,7 +139,7 @@ def q_length_stats(spark, sf):
 
 
 @register("char_length", O.with_views(
-    "select id, length(title) as title_chars, length(description) as description_chars, length(product_text) as text_chars from cc",
+    "select id, cast(length(title) as integer) as title_chars, cast(length(description) as integer) as description_chars, cast(length(product_text) as integer) as text_chars from cc",
     "fx_collection", extra=O.clean_collection_ctes()))
 def q_char_length(spark, sf):
     c = clean.clean_collection(fx.collection(spark, sf))
@@ -148,7 +148,7 @@ def q_char_length(spark, sf):
 
 
 @register("token_count", O.with_views(
-    "select qid, len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) as n_tokens from fx_queries",
+    "select qid, cast(len(list_filter(regexp_split_to_array(trim(text), '\\s+'), lambda w: w <> '')) as integer) as n_tokens from fx_queries",
     "fx_queries"))
 def q_token_count(spark, sf):
     return fx.queries(spark, sf).select("qid", token_count("text").alias("n_tokens"))

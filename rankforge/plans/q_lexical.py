@@ -39,7 +39,7 @@ def _ctes(lemmatize=False, k1=1.2, b=0.9, eps=0.1):
 
 
 _MACRO = """select round(avg(ndcg), 6) as ndcg, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall,
- count(*) as n_queries, count_if(ndcg is null) as n_undefined from mt_pq"""
+ count(*) as n_queries, cast(count_if(ndcg is null) as bigint) as n_undefined from mt_pq"""
 
 
 @register("eval_bm25", O.with_views(_MACRO, *VIEWS3, extra=_ctes() + O.metric_ctes("ev_scored", 5, 10, evaluated="ev_evalq")))
@@ -129,7 +129,7 @@ def q_ground_truth(spark, sf):
     return ranking.ground_truth(fx.qrels(spark, sf), _coll(spark, sf))
 
 
-_TOK_Q = O.with_views(f"select qid, len({O.tokenize('text')}) as n_tokens, array_to_string({O.tokenize('text')}, ' ') as tokens from fx_queries",
+_TOK_Q = O.with_views(f"select qid, cast(len({O.tokenize('text')}) as integer) as n_tokens, array_to_string({O.tokenize('text')}, ' ') as tokens from fx_queries",
                       "fx_queries")
 
 
@@ -139,14 +139,14 @@ def q_tokenize(spark, sf):
     return fx.queries(spark, sf).select("qid", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
-@register("tokenize_corpus", O.with_views("select id, len(tokens) as n_tokens, array_to_string(tokens, ' ') as tokens from bm_tok",
+@register("tokenize_corpus", O.with_views("select id, cast(len(tokens) as integer) as n_tokens, array_to_string(tokens, ' ') as tokens from bm_tok",
                                           "fx_collection", extra=O.clean_collection_ctes() + O.bm25_index_ctes()[:1]))
 def q_tokenize_corpus(spark, sf):
     t = bm25.tokenize_corpus(_coll(spark, sf))
     return t.select("id", F.size("tokens").alias("n_tokens"), F.array_join("tokens", " ").alias("tokens"))
 
 
-@register("tokenized_corpus", O.with_views("select id, len(tokens) as n_tokens, array_to_string(tokens, ' ') as tokens from bm_tok",
+@register("tokenized_corpus", O.with_views("select id, cast(len(tokens) as integer) as n_tokens, array_to_string(tokens, ' ') as tokens from bm_tok",
                                            "fx_collection", extra=O.clean_collection_ctes() + O.bm25_index_ctes()[:1]))
 def q_tokenized_corpus(spark, sf):
     """Token lists persisted as Parquet ``(id, tokens)`` keyed by id, reloaded for tuning."""
@@ -157,7 +157,7 @@ def q_tokenized_corpus(spark, sf):
 
 
 @register("tokenize_errors", O.with_views(
-    f"select qid, len({O.tokenize('text')}) as n_tokens from fx_queries where text is null", "fx_queries"))
+    f"select qid, cast(len({O.tokenize('text')}) as integer) as n_tokens from fx_queries where text is null", "fx_queries"))
 def q_tokenize_errors(spark, sf):
     """NULL text tokenises to an empty list (the reference would fail later on len(NaN))."""
     q = fx.queries(spark, sf).filter(F.col("text").isNull())

@@ -43,7 +43,7 @@ def _tf(body):
     return O.with_views(body, "fx_text_pairs", extra=TF_CTES)
 
 
-@register("union_corpora", _tf("select side, pair_id, length(text) as n_chars from tf_docs"))
+@register("union_corpora", _tf("select side, pair_id, cast(length(text) as integer) as n_chars from tf_docs"))
 def q_union_corpora(spark, sf):
     return _docs(spark, sf).select("side", "pair_id", F.char_length("text").alias("n_chars"))
 

@@ -58,7 +58,7 @@ def _pairs(spark, sf):
 # ---------------------------------------------------------------- tokens and n-grams
 
 @register("rouge_tokens", O.with_views(
-    f"select pair_id, len({O.rouge_tokens('query')}) as n_tokens, array_to_string({O.rouge_tokens('query')}, ' ') as tokens from fx_text_pairs",
+    f"select pair_id, cast(len({O.rouge_tokens('query')}) as integer) as n_tokens, array_to_string({O.rouge_tokens('query')}, ' ') as tokens from fx_text_pairs",
     "fx_text_pairs"))
 def q_rouge_tokens(spark, sf):
     t = rouge_tokens("query")
@@ -66,7 +66,7 @@ def q_rouge_tokens(spark, sf):
 
 
 @register("tfidf_tokens", O.with_views(
-    f"select pair_id, len({O.tfidf_tokens('query')}) as n_tokens, array_to_string({O.tfidf_tokens('query')}, ' ') as tokens from fx_text_pairs",
+    f"select pair_id, cast(len({O.tfidf_tokens('query')}) as integer) as n_tokens, array_to_string({O.tfidf_tokens('query')}, ' ') as tokens from fx_text_pairs",
     "fx_text_pairs"))
 def q_tfidf_tokens(spark, sf):
     t = tfidf_tokens(F.col("query"))
@@ -157,7 +157,7 @@ def q_clean_generated(spark, sf):
 
 
 @register("queries_by_product", O.with_views(
-    """select md5(product_text) as text_key, min(id) as id, arg_min(len(list_distinct(list_filter(queries, lambda x: x <> ''))), id) as n_queries
+    """select md5(product_text) as text_key, min(id) as id, cast(arg_min(len(list_distinct(list_filter(queries, lambda x: x <> ''))), id) as integer) as n_queries
  from fx_generated group by product_text""", "fx_generated"))
 def q_queries_by_product(spark, sf):
     """One query list per distinct product text (texts deduplicated before generation)."""
@@ -261,7 +261,7 @@ _L7_CTES = (O.clean_collection_ctes() + O.eval_input_ctes() + hashed_ctes("hq",
 
 @register("eval_encoder", O.with_views(
     """select round(avg(ndcg), 6) as ndcg, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall,
- count(*) as n_queries, count_if(ndcg is null) as n_undefined from mt_pq""", "fx_collection", "fx_queries", "fx_qrels", extra=_L7_CTES))
+ count(*) as n_queries, cast(count_if(ndcg is null) as bigint) as n_undefined from mt_pq""", "fx_collection", "fx_queries", "fx_qrels", extra=_L7_CTES))
 def q_eval_encoder(spark, sf):
     """Encoder retrieval: queries and collection through the hashed encoder, judged documents
     ranked by ascending Euclidean distance; macro NDCG@5 / P@10 / R@10."""
@@ -303,7 +303,7 @@ def q_candidate_set(spark, sf):
 
 @register("pair_counts", O.with_views(
     """select count(distinct docid) as n_products, count(*) as n_pairs, (select count(*) from fx_vec_products) as n_candidates,
- count_if(split = 'train') as n_train from m7""", "fx_vec_queries", "fx_vec_products", "fx_vec_qrels", extra=_M7_CTES))
+ cast(count_if(split = 'train') as bigint) as n_train from m7""", "fx_vec_queries", "fx_vec_products", "fx_vec_qrels", extra=_M7_CTES))
 def q_pair_counts(spark, sf):
     t = sampling.split_rows(_kept_pairs(spark, sf), "pk", 0.8, SEED)
     n_cand = fx.vec_products(spark, sf).agg(F.count("*")).scalar()

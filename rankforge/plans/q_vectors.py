@@ -122,7 +122,7 @@ def q_judged_candidates(spark, sf):
 
 
 @register("pairs_with_embeddings", O.with_views(
-    "select r.qid, r.docid, len(p.product_embedding) as dim from fx_vec_qrels r join fx_vec_products p on p.id = r.docid where r.relevance_score >= 1", *VV))
+    "select r.qid, r.docid, cast(len(p.product_embedding) as integer) as dim from fx_vec_qrels r join fx_vec_products p on p.id = r.docid where r.relevance_score >= 1", *VV))
 def q_pairs_with_embeddings(spark, sf):
     _, p, r = _v(spark, sf)
     j = r.filter("relevance_score >= 1").join(p.select(F.col("id").alias("docid"), "product_embedding"), "docid")
@@ -148,7 +148,7 @@ def q_drop_null_subset(spark, sf):
 
 
 @register("positional_attach", O.with_views(
-    "select c.id, c.title, len(p.product_embedding) as dim from cc c join fx_vec_products p on p.id = c.id",
+    "select c.id, c.title, cast(len(p.product_embedding) as integer) as dim from cc c join fx_vec_products p on p.id = c.id",
     "fx_collection", "fx_vec_products", extra=O.clean_collection_ctes()))
 def q_positional_attach(spark, sf):
     """Vectors attached to the collection by key (never by row position)."""
@@ -188,7 +188,7 @@ def q_first_per_group(spark, sf):
 
 _EVAL_EMB = O.with_views(
     """select round(avg(ndcg), 6) as ndcg, round(avg(precision), 6) as precision, round(avg(recall), 6) as recall,
- count(*) as n_queries, count_if(ndcg is null) as n_undefined from mt_pq""", *VV,
+ count(*) as n_queries, cast(count_if(ndcg is null) as bigint) as n_undefined from mt_pq""", *VV,
     extra=[("ee_scored", f"select r.qid, r.docid, r.relevance_score, round({COS('q.query_embedding', 'p.product_embedding')}, 9) as score {PAIRS_SQL}")]
     + O.metric_ctes("ee_scored", 10, 10, evaluated="fx_vec_queries"))
 
@@ -219,7 +219,7 @@ def q_topk_accuracy(spark, sf):
 
 
 @register("src_sink_embeddings", O.with_views(
-    "select id, label, len(product_embedding) as dim, round(list_sum(product_embedding), 6) as total from fx_vec_products",
+    "select id, label, cast(len(product_embedding) as integer) as dim, round(list_sum(product_embedding), 6) as total from fx_vec_products",
     "fx_vec_products"))
 def q_src_sink_embeddings(spark, sf):
     path = scratch_path(spark, "product-vectors")
@@ -230,7 +230,7 @@ def q_src_sink_embeddings(spark, sf):
 
 
 @register("collection_embeddings", O.with_views(
-    "select c.id, c.title, len(p.product_embedding) as dim from cc c join fx_vec_products p on p.id = c.id",
+    "select c.id, c.title, cast(len(p.product_embedding) as integer) as dim from cc c join fx_vec_products p on p.id = c.id",
     "fx_collection", "fx_vec_products", extra=O.clean_collection_ctes()))
 def q_collection_embeddings(spark, sf):
     """Collection + vectors kept as a Parquet table (instead of a pickle), read back."""
