@@ -53,10 +53,29 @@ def rank_within(df: DataFrame, order_col: str, ascending: bool = False, part: Se
     return df.withColumn(out, F.row_number().over(w))
 
 
+def rank_distributed(df: DataFrame, order_col: str, ascending: bool = False, part: Sequence[str] = ("qid",),
+                     key: str = "docid", out: str = "rank") -> DataFrame:
+    """Full 1-based rank within groups without holding a group in one task.
+
+    A global range-partitioned sort on (group, order, key) splits even a huge group across many
+    tasks; ``monotonically_increasing_id`` numbers rows in sort order inside each partition; the
+    per-(group, partition) counts -- a table of groups x partitions rows -- give each partition's
+    offset inside its group. Use for unbounded rankings; top-k uses ``rank_within`` + a limit."""
+    o = F.col(order_col).asc() if ascending else F.col(order_col).desc()
+    s = df.orderBy(*[F.col(p) for p in part], o, F.col(key).asc()) \
+        .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    stats = s.groupBy(*part, "_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
+    w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offs = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))
+    r = s.join(offs, [*part, "_pid"])
+    return r.withColumn(out, (F.col("_mid") - F.col("_m0") + F.col("_off") + 1).cast("int")) \
+        .drop("_pid", "_mid", "_n", "_m0", "_off")
+
+
 def ground_truth(qrels: DataFrame, collection: DataFrame, id_col: str = "id") -> DataFrame:
     """Judged documents in the collection, ranked by relevance descending (ties: docid)."""
     g = judged_in_collection(qrels, collection, id_col)
-    return rank_within(g, "relevance_score")
+    return rank_distributed(g, "relevance_score")
 
 
 def ranking_metrics(scored: DataFrame, p: int = 5, k: int = 10, group: Sequence[str] = (),

@@ -41,12 +41,12 @@ def split_rows(df: DataFrame, key: str, train_frac: float = 0.8, seed: int = 119
 
 
 def dense_index(df: DataFrame, key: str) -> DataFrame:
-    """``(key, idx)`` with idx = 0-based rank of the key: a distributed range sort, then
-    ``zipWithIndex`` (one counting job for partition offsets) -- no single-partition window."""
-    spark = df.sparkSession
-    ordered = df.select(key).distinct().orderBy(key)
-    rdd = ordered.rdd.zipWithIndex().map(lambda r: (r[0][0], r[1]))
-    return spark.createDataFrame(rdd, f"{key} long, idx long")
+    """``(key, idx)`` with idx = 0-based rank of the key: a distributed range sort plus
+    per-partition offsets (JVM only) -- no single-partition window, no Python row path."""
+    from .ranking import rank_distributed
+
+    r = rank_distributed(df.select(key).distinct(), key, ascending=True, part=(), key=key, out="_r")
+    return r.select(F.col(key).cast("long").alias(key), (F.col("_r") - 1).cast("long").alias("idx"))
 
 
 def negative_ids(items: DataFrame, key: str, draws: DataFrame, draw_key: str, seed_col: str) -> DataFrame:

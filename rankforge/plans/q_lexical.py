@@ -111,7 +111,7 @@ def q_bm25_scores(spark, sf):
     *VIEWS3, extra=_ctes()))
 def q_rank_judged(spark, sf):
     _, scored = _scored(spark, sf)
-    return ranking.rank_within(scored, "score").select("qid", "docid", "rank")
+    return ranking.rank_distributed(scored, "score").select("qid", "docid", "rank")
 
 
 @register("positional_rank", O.with_views(

@@ -68,6 +68,18 @@ def test_judged_first_equals_full_ranking(spark):
         assert judged_first[k] == pytest.approx(other[k])
 
 
+def test_distributed_rank_equals_window_rank(spark):
+    rows = [(q, d, float((d * 7919) % 13), 0) for q in (1, 2, 3) for d in range(300 if q == 1 else 20)]
+    df = spark.createDataFrame(rows, "qid long, docid long, score double, relevance_score int").repartition(5)
+    a = {(r["qid"], r["docid"]): r["rank"] for r in ranking.rank_within(df, "score").collect()}
+    spark.conf.set("spark.sql.shuffle.partitions", "7")
+    try:
+        b = {(r["qid"], r["docid"]): r["rank"] for r in ranking.rank_distributed(df, "score").collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert a == b
+
+
 def test_tsv_ingest_rules(spark):
     path = scratch_path(spark, "edge-tsv")
     import os
