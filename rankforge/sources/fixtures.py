@@ -69,7 +69,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     get 1 if quality = 1 else 0. Judgements are an input table (a file in the reference); the
     derivation runs a Python containment scan, so it is persisted once per session and source
     and shared by every plan that reads it (blocks lost with an executor are recomputed)."""
-    key = (id(spark.sparkContext._jsc), sf_dir.rstrip("/"))
+    key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     df = _PERSISTED.get(key)
     if df is None:
         df = _qrels(spark, sf_dir).persist()
