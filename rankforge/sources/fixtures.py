@@ -30,6 +30,7 @@ QREL_SHIFTED = (10, 8, 1000)             # item_id % 10 = 8 -> qid shifted by 10
 QREL_POOL_MOD = 50                       # pool: doc_id % 50 = item_id % 50
 VEC_QUERY_MOD = 10                       # vec_id % 10 = 0 -> query vector, else product
 VEC_POOL = (20, 7)                       # pool: id % 20 = qid % 7
+SALTS = 8                                # replication of the query side in low-cardinality joins
 
 
 def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,13 +125,17 @@ def vec_products(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vec_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Same label -> 1 + id % 3; other pool members (id % 20 = qid % 7) -> 0."""
-    q = vec_queries(spark, sf_dir).select("qid", F.col("label").alias("ql"))
-    p = vec_products(spark, sf_dir).select("id", F.col("label").alias("pl"))
-    same = q.join(p, F.col("ql") == F.col("pl")).select(
+    # Both joins are on keys with few values (10 labels, 20 pool classes): salt them so that one
+    # hot key is spread over SALTS tasks -- products get a hashed salt, queries are replicated.
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    q = vec_queries(spark, sf_dir).select("qid", F.col("label").alias("ql"), salts)
+    p = vec_products(spark, sf_dir).select("id", F.col("label").alias("pl"),
+                                           F.pmod(F.xxhash64("id"), F.lit(SALTS)).alias("salt"))
+    same = q.join(p, (F.col("ql") == F.col("pl")) & (q["salt"] == p["salt"])).select(
         "qid", F.col("id").alias("docid"), (F.lit(1) + F.col("id") % 3).cast("int").alias("relevance_score"))
     qk = q.withColumn("k", F.pmod("qid", F.lit(VEC_POOL[1])))
     pk = p.withColumn("k", F.pmod("id", F.lit(VEC_POOL[0])))
-    other = qk.join(pk, "k").filter(~F.coalesce(F.col("ql") == F.col("pl"), F.lit(False))).select(
+    other = qk.join(pk, ["k", "salt"]).filter(~F.coalesce(F.col("ql") == F.col("pl"), F.lit(False))).select(
         "qid", F.col("id").alias("docid"), F.lit(0).alias("relevance_score"))
     return same.unionByName(other)
 
