@@ -27,7 +27,9 @@ def main() -> None:
     from rankforge.plans.registry import load_all
     from rankforge.session import get_spark
 
-    spark = get_spark(shuffle_partitions=int(os.environ["BENCH_CPUS"]) * 2)
+    # local mode: one shuffle partition per core (AQE coalesces further); clusters set their own
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", os.environ["BENCH_CPUS"]))
+    spark = get_spark(shuffle_partitions=shuffle)
     queries, _ = load_all()
     names = os.environ.get("BENCH_QUERIES")
     names = names.split(",") if names else (list(queries) if os.environ.get("BENCH_ALL") else HEADLINE)
