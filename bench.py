@@ -27,8 +27,8 @@ def main() -> None:
     from rankforge.plans.registry import load_all
     from rankforge.session import get_spark
 
-    # local mode: one shuffle partition per core (AQE coalesces further); clusters set their own
-    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", os.environ["BENCH_CPUS"]))
+    # local mode: two shuffle partitions per core (AQE coalesces further); clusters set their own
+    shuffle = int(os.environ.get("BENCH_SHUFFLE_PARTITIONS", int(os.environ["BENCH_CPUS"]) * 2))
     spark = get_spark(shuffle_partitions=shuffle)
     queries, _ = load_all()
     names = os.environ.get("BENCH_QUERIES")
