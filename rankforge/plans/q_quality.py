@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.keys import sample_key  # noqa: F401  (documented key of every draw)
 from ..functions.text import ordered_distinct_nonempty
 from ..operators import clean, sampling, tfidf
 from ..sources import fixtures as fx
