@@ -27,7 +27,7 @@ P = len(FEATURES)
 #: Medians of the chi-square distribution with P = 6 degrees of freedom (fixed value).
 CHI2_MEDIAN = 5.348
 #: Smallest standard deviation that a statistic is taken to have, in the units of its transform.
-FLOOR = np.array([0.25, 0.25, 0.25, 0.25, 0.03, 0.10])
+FLOOR = np.array([0.5, 0.4, 0.4, 0.5, 0.2, 0.15])
 
 _SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                        + [T.StructField("v", T.ArrayType(T.DoubleType()))])
@@ -115,7 +115,7 @@ def _estimate(rows: DataFrame, shrink_rows: int) -> DataFrame:
     return materialize(e.select("g", "e.mean", "e.icov"), "mcd-estimate")
 
 
-def robust_outliers(stats: DataFrame, group_cols: list[str], id_cols: list[str], h: float = 0.75, steps: int = 3, cutoff: float = 60.0,
+def robust_outliers(stats: DataFrame, group_cols: list[str], id_cols: list[str], h: float = 0.75, steps: int = 3, cutoff: float = 150.0,
                     shrink_rows: int = 200) -> DataFrame:
     """``stats`` (rows with ``v`` and ``base_failed``) plus ``distance`` (scaled, squared) and ``kept``.
 
