@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import sys
+import types
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,3 +76,12 @@ def label_rows(labels: DataFrame, id_col: str, label: str) -> DataFrame:
     """One row ``(id, y)`` per id with a label; of conflicting labels the larger counts."""
     return labels.filter(F.col(id_col).isNotNull() & F.col(label).isNotNull()) \
         .groupBy(F.col(id_col).alias("_lid")).agg(F.max(F.col(label).cast("int")).alias("_y"))
+
+
+def worker_state(key: tuple, make: Callable):
+    """An object that a Python worker keeps from task to task (a loaded vocabulary, a table of known words). It is
+    a cache only: a new worker makes it anew."""
+    kept = sys.modules.setdefault("_rankforge_worker_state", types.ModuleType("_rankforge_worker_state")).__dict__
+    if key not in kept:
+        kept[key] = make()
+    return kept[key]

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import licenses, quality_classifier, quality_rules, secrets, toxicity
+from . import decontaminate, licenses, packing, quality_classifier, quality_rules, secrets, toxicity
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable] = {}
@@ -52,3 +52,20 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op9_licenses")
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.licenses(documents(spark, sf_dir)))
+
+
+def tokenizer_path() -> str:
+    """The 50k byte-level vocabulary among the public tokenizers."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@register("op7_packing")
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+@register("op5_decontamination")
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
