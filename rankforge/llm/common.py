@@ -85,3 +85,12 @@ def worker_state(key: tuple, make: Callable):
     if key not in kept:
         kept[key] = make()
     return kept[key]
+
+
+#: Rows of ids up to which a table is broadcast (some 30 MB); a larger one is joined by a shuffle.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A materialised table of ids, marked for broadcast if its counted rows are within the bound."""
+    return F.broadcast(df) if df.count() <= rows else df

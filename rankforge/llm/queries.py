@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, packing, quality_classifier, quality_rules, secrets, toxicity
+from . import decontaminate, licenses, near_dedup, packing, quality_classifier, quality_rules, secrets, toxicity
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable] = {}
@@ -69,3 +69,8 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op5_decontamination")
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+@register("op4_near_duplicates")
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicates(documents(spark, sf_dir))
