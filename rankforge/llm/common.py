@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import sys
 import types
 from collections.abc import Callable
@@ -94,3 +95,10 @@ BROADCAST_ROWS = 1_000_000
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """A materialised table of ids, marked for broadcast if its counted rows are within the bound."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """After a materialised step: lets Spark's cleaner drop the shuffle files of plans that nothing refers to any more,
+    which it does only when the driver's garbage is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
