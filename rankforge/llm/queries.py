@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, near_dedup, packing, quality_classifier, quality_rules, repeats, secrets, toxicity
+from . import decontaminate, licenses, lm, near_dedup, packing, quality_classifier, quality_rules, repeats, secrets, toxicity
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable] = {}
@@ -79,3 +79,8 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_repeats")
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(documents(spark, sf_dir))
+
+
+@register("op2_language_model")
+def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(documents(spark, sf_dir))
