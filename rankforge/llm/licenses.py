@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: What separates words in a text that is not lower-cased.
+ANY_CASE_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Base phrases and their labels (fixed values).
 BASE = (("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved"))
@@ -152,13 +154,14 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
     detections of repeated rules count once."""
     spec = rules() if spec is None else spec
     keys = sorted({k for _, _, k, _ in spec} | {p for p, _ in BASE})
-    gate = " (" + "|".join(keys) + ")"  # a keyword starts a word
-    low = docs.select(F.col(id_col).alias("doc_id"), _lower(F.col(text_col)).alias("_t"))
-    # cheap first test on the raw text: the first word of some keyword occurs
-    heads = "|".join(sorted({k.split(" ")[0] for k in keys}))
-    low = low.withColumn("n_words", F.regexp_count("_t", F.lit(WORD)).cast("long")).withColumn(
-        "_n", F.when(F.col("_t").rlike(heads), F.concat(F.lit(" "), F.regexp_replace("_t", _GAP, " "), F.lit(" "))))
-    low = low.withColumn("_n", F.regexp_replace("_n", "  +", " ")).withColumn("_n", F.when(F.col("_n").rlike(gate), F.col("_n")))
+    # cheap test on the raw text: a keyword starts here; alternatives are grouped by their first letter
+    letters = sorted({k[0] for k in keys})
+    first = "|".join(f"{c}(?:{'|'.join(k[1:].replace(' ', ANY_CASE_GAP) for k in keys if k[0] == c)})" for c in letters)
+    gate = f"(?i)(?<![a-z0-9])(?=[{''.join(letters)}])(?:{first})"
+    low = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    low = low.withColumn("n_words", F.size(F.array_remove(F.split("_t", ANY_CASE_GAP), "")).cast("long")).withColumn(
+        "_n", F.when(F.col("_t").rlike(gate), F.concat(F.lit(" "), F.regexp_replace(_lower(F.col("_t")), _GAP, " "), F.lit(" "))))
+    low = low.withColumn("_n", F.regexp_replace("_n", "  +", " "))
     base = "concat(" + ", ".join(f"transform({_places('_n', repr(' ' + p + ' '))}, x -> named_struct('label', '{lab}', 's', x.s))" for p, lab in BASE) + ")"
     found = f"""flatten(transform(filter({_rule_table(spec)}, r -> contains(_n, ' ' || r.key)), r -> transform({_places('_n', 'r.rx')},
         x -> named_struct('p', r.p, 'i', r.i, 'label', r.label, 's', x.s, 'e', x.e))))"""
