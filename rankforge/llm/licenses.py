@@ -163,7 +163,10 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
         "_n", F.when(F.col("_t").rlike(gate), F.concat(F.lit(" "), F.regexp_replace(_lower(F.col("_t")), _GAP, " "), F.lit(" "))))
     low = low.withColumn("_n", F.regexp_replace("_n", "  +", " "))
     base = "concat(" + ", ".join(f"transform({_places('_n', repr(' ' + p + ' '))}, x -> named_struct('label', '{lab}', 's', x.s))" for p, lab in BASE) + ")"
-    found = f"""flatten(transform(filter({_rule_table(spec)}, r -> contains(_n, ' ' || r.key)), r -> transform({_places('_n', 'r.rx')},
+    # each keyword is looked for once, then the rules of those that occur are run
+    names = "array(" + ",".join(f"'{k}'" for k in keys) + ")"
+    low = low.withColumn("_k", F.when(F.col("_n").isNotNull(), F.expr(f"filter({names}, k -> contains(_n, ' ' || k))")))
+    found = f"""flatten(transform(filter({_rule_table(spec)}, r -> array_contains(_k, r.key)), r -> transform({_places('_n', 'r.rx')},
         x -> named_struct('p', r.p, 'i', r.i, 'label', r.label, 's', x.s, 'e', x.e))))"""
     kept = """filter(_f, x -> not exists(_f, y -> y.i != x.i and y.s <= x.s and x.e <= y.e and (
         y.p > x.p or (y.p = x.p and (y.e - y.s > x.e - x.s or (y.e - y.s = x.e - x.s and y.i < x.i))))))"""
