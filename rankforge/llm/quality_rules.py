@@ -7,7 +7,7 @@ covariance until ``steps`` are done; a document is rejected when its squared dis
 the group's median is the chi-square median, exceeds ``cutoff``.
 
 Every step is a grouped aggregate with map-side partial sums (one third of the rows in a group is no
-problem); a group's state is one row. The covariance of a group is shrunk to that of all rows with the
+problem); a group's state is one row, sent to the tasks while the counted groups are within a bound. The covariance of a group is shrunk to that of all rows with the
 weight of ``shrink_rows`` rows, so that a group with few or equal rows has a defined verdict.
 """
 
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize
+from .common import materialize, small
 from .textstats import base_counts
 
 FEATURES = ("log_words", "word_length", "symbol_rate", "line_rate", "repeat_rate", "distinct_rate")
@@ -129,14 +129,14 @@ def robust_outliers(stats: DataFrame, group_cols: list[str], id_cols: list[str],
     diag = [scale[i] if i == j else F.lit(0.0) for i in range(P) for j in range(P)]
     est = materialize(q.select("g", F.array(*[F.col(f"q{i}")[1] for i in range(P)]).alias("mean"), F.array(*diag).alias("icov")), "mcd-start")
     for _ in range(steps):
-        d = clean.join(est, "g").withColumn("d", _distance("v", "mean", "icov")).select("g", "v", "d")
-        cut = d.groupBy("g").agg(F.percentile_approx("d", h, 2000).alias("cut"))
-        est = _estimate(d.join(cut, "g").filter("d <= cut"), shrink_rows)
-    d = keyed.join(est, "g", "left").withColumn("d", F.when(F.col("mean").isNotNull() & ~F.col("base_failed"), _distance(
+        d = clean.join(small(est), "g").withColumn("d", _distance("v", "mean", "icov")).select("g", "v", "d")
+        cut = materialize(d.groupBy("g").agg(F.percentile_approx("d", h, 2000).alias("cut")), "mcd-cut")
+        est = _estimate(d.join(small(cut), "g").filter("d <= cut"), shrink_rows)
+    d = keyed.join(small(est), "g", "left").withColumn("d", F.when(F.col("mean").isNotNull() & ~F.col("base_failed"), _distance(
         "v", F.coalesce("mean", "v"), F.coalesce("icov", F.array_repeat(F.lit(0.0), P * P)))))
-    med = d.filter("d is not null").groupBy("g").agg(F.percentile_approx("d", 0.5, 2000).alias("med"))
+    med = materialize(d.filter("d is not null").groupBy("g").agg(F.percentile_approx("d", 0.5, 2000).alias("med")), "mcd-median")
     scaled = F.col("d") * F.lit(CHI2_MEDIAN) / F.greatest(F.col("med"), F.lit(1.0))
-    out = d.join(med, "g", "left").withColumn("distance", scaled)
+    out = d.join(small(med), "g", "left").withColumn("distance", scaled)
     return out.withColumn("kept", ~F.col("base_failed") & F.coalesce(F.col("distance") <= cutoff, F.lit(True))) \
         .select(*id_cols, *[c for c in stats.columns if c not in {*id_cols, *group_cols, "v"}], "distance", "kept")
 
