@@ -143,8 +143,12 @@ def _places(norm: str, pattern: str) -> str:
 
 
 def _rule_table(spec: list[tuple[int, str, str, str]]) -> str:
+    """SQL: the rules of each keyword."""
     q = lambda s: "'" + s.replace("\\", "\\\\").replace("'", "\\'") + "'"
-    return "array(" + ",".join(f"named_struct('p',{p},'i',{i},'label',{q(lab)},'key',{q(key)},'rx',{q(rx)})" for i, (p, lab, key, rx) in enumerate(spec)) + ")"
+    of = {}
+    for i, (p, lab, key, rx) in enumerate(spec):
+        of.setdefault(key, []).append(f"named_struct('p',{p},'i',{i},'label',{q(lab)},'rx',{q(rx)})")
+    return "map(" + ",".join(f"{q(k)},array({','.join(r)})" for k, r in of.items()) + ")"
 
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: list[tuple[int, str, str, str]] | None = None) -> DataFrame:
@@ -164,9 +168,8 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
     low = low.withColumn("_n", F.regexp_replace("_n", "  +", " "))
     base = "concat(" + ", ".join(f"transform({_places('_n', repr(' ' + p + ' '))}, x -> named_struct('label', '{lab}', 's', x.s))" for p, lab in BASE) + ")"
     # each keyword is looked for once, then the rules of those that occur are run
-    names = "array(" + ",".join(f"'{k}'" for k in keys) + ")"
-    low = low.withColumn("_k", F.when(F.col("_n").isNotNull(), F.expr(f"filter({names}, k -> contains(_n, ' ' || k))")))
-    found = f"""flatten(transform(filter({_rule_table(spec)}, r -> array_contains(_k, r.key)), r -> transform({_places('_n', 'r.rx')},
+    names = "array(" + ",".join(f"'{k}'" for k in sorted({k for _, _, k, _ in spec})) + ")"
+    found = f"""flatten(transform(flatten(transform(filter({names}, k -> contains(_n, ' ' || k)), k -> element_at({_rule_table(spec)}, k))), r -> transform({_places('_n', 'r.rx')},
         x -> named_struct('p', r.p, 'i', r.i, 'label', r.label, 's', x.s, 'e', x.e))))"""
     kept = """filter(_f, x -> not exists(_f, y -> y.i != x.i and y.s <= x.s and x.e <= y.e and (
         y.p > x.p or (y.p = x.p and (y.e - y.s > x.e - x.s or (y.e - y.s = x.e - x.s and y.i < x.i))))))"""
