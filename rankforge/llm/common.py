@@ -102,3 +102,14 @@ def release_shuffles(spark: SparkSession) -> None:
     which it does only when the driver's garbage is collected."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
+
+
+#: Labelled rows that a classifier is fitted on at most, a bound that holds at every size; drawn by a hash of the id.
+FIT_ROWS = 200_000
+
+
+def labelled_sample(labels: DataFrame, id_col: str, label: str, mod: int, held: int, rows: int = FIT_ROWS) -> DataFrame:
+    """At most ``rows`` labels ``(_lid, _y)`` outside the held-out remainder, marked for broadcast: documents are
+    matched where they are read and never shuffled for a fit."""
+    y = label_rows(labels, id_col, label).filter("_y in (0, 1)").filter(id_remainder("_lid", mod) != held)
+    return F.broadcast(materialize(y.orderBy(F.xxhash64("_lid"), "_lid").limit(rows), "labels"))

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, label_rows, materialize
+from .common import id_remainder, label_rows, labelled_sample, materialize
 from .textstats import SHAPE, shape_vector
 
 P = len(SHAPE)
@@ -109,11 +109,10 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
               mod: int = 4, held: int = 2, threshold: float = 0.7, **params) -> DataFrame:
-    """The rows of ``docs``, all columns, whose score reaches the threshold. Rows that are not labelled are
-    read once, the labelled ones twice (fit, then score); texts are never shuffled."""
-    y = label_rows(labels, id_col, label)
-    own = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t")).filter(id_remainder("doc_id", mod) != held) \
-        .join(y, F.col("doc_id") == F.col("_lid"), "inner").select("_y", statistics("_t").alias("v"))
+    """The rows of ``docs``, all columns, whose score reaches the threshold. The fit reads at most
+    ``common.FIT_ROWS`` labelled rows, drawn by a hash of the id; texts are never shuffled."""
+    y = labelled_sample(labels, id_col, label, mod, held)
+    own = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(y, F.col("_i") == F.col("_lid")).select("_y", statistics("_t").alias("v"))
     model = fit(own, **params)
     cols = docs.columns
     return docs.filter(_score_text(model, F.col(text_col)) >= threshold).select(*cols)

@@ -2,9 +2,9 @@
 
 Features are densities: of a lexicon and its word stems learned from the labelled training rows, of
 lexicon words near a second-person word, of capitals, exclamation and question marks, and of obfuscated
-words (digits or signs inside letters, also those that read as a lexicon word when undone). The lexicon
-counts cover all labelled training rows; trees and calibration are fitted on at most ``max_rows`` of them,
-drawn by a hash of the id (a documented bound: the model's size does not grow with the data)."""
+words (digits or signs inside letters, also those that read as a lexicon word when undone). The fit reads
+at most ``common.FIT_ROWS`` labelled training rows for the lexicon and ``max_rows`` of these for the trees and the calibration, both
+drawn by a hash of the id (documented bounds: the model does not grow with the data). Scores cover every whole text."""
 
 from __future__ import annotations
 
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import id_remainder, label_rows, materialize
+from .common import id_remainder, labelled_sample, materialize
 
 #: Second-person words of the four languages (fixed values).
 SECOND_PERSON = frozenset("you your yours yourself u du dich dir dein deine deiner ihr euch tu te toi ton ta tes vous votre vos usted ustedes ti tuyo tus su".split())
@@ -179,9 +179,8 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label: str, mod: int, held: int, max_rows: int, **params):
     """Lexicon and model from the labelled rows whose id remainder is not the held-out one."""
-    y = label_rows(labels, id_col, label).filter("_y in (0, 1)")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).filter(id_remainder("doc_id", mod) != held) \
-        .join(y, F.col("doc_id") == F.col("_lid")).select("doc_id", "text", "_y")
+    y = labelled_sample(labels, id_col, label, mod, held)
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(y, F.col("doc_id") == F.col("_lid")).select("doc_id", "text", "_y")
     rows = materialize(rows, "toxicity-rows")
     lexicon = learn_lexicon(rows)
     feats = rows.select("doc_id", "_y", features(lexicon)("text").alias("f"))
