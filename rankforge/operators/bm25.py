@@ -226,9 +226,21 @@ def top_n(scores: DataFrame, n: int, part: str = "qid", score: str = "score", ke
 
 
 def search(index: BM25Index, queries: DataFrame, n: int = 5) -> DataFrame:
-    """``get_top_n`` for many queries in one plan over the matched documents."""
+    """``get_top_n`` for many queries in one plan: n rows per query if the collection has n documents.
+
+    Queries with fewer than n matches are filled up, score 0, with the smallest ids that do not match. Among the n
+    smallest ids of the collection there are always enough of them, so only |queries| x n rows are made.
+    With ``n <= 0`` all matches are returned."""
     s = score_matches(index, query_terms(index, queries)).withColumn("score", F.round("score", 9))
-    return top_n(s, n)
+    if n <= 0 or index.doc_ids is None:
+        return top_n(s, n)
+    top = top_n(s, n).drop("rank")
+    low = F.array(*[F.lit(r["id"]) for r in index.doc_ids.select("id").distinct().orderBy("id").limit(n).collect()])
+    asked = queries.filter(F.col("text").isNotNull()).select("qid").distinct()
+    few = asked.join(top.groupBy("qid").agg(F.count("*").alias("_n")).filter(F.col("_n") >= n).select("qid"), "qid", "left_anti")
+    zero = few.select("qid", F.explode(low).alias("id")).join(s.select("qid", "id"), ["qid", "id"], "left_anti") \
+        .select("qid", "id", F.lit(0.0).alias("score"))
+    return top_n(top.select("qid", "id", "score").unionByName(zero), n)
 
 
 def save_index(index: BM25Index, path: str) -> None:

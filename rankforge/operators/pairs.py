@@ -63,8 +63,9 @@ def build_pairs(flat: DataFrame, collection: DataFrame, qrels: DataFrame, min_sc
 
 
 def dev_judgements(queries: DataFrame, qrels: DataFrame) -> DataFrame:
-    """(qid, query_text, docid, relevance_score) for qids present on both sides."""
-    q = queries.select("qid", F.col("text").alias("query_text"))
+    """(qid, query_text, docid, relevance_score) for qids present on both sides. A repeated qid counts
+    once, with its largest text."""
+    q = queries.groupBy("qid").agg(F.max("text").alias("query_text"))
     return qrels.join(q, "qid").select("qid", "query_text", "docid", "relevance_score")
 
 

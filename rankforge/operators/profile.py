@@ -62,11 +62,13 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float] = (0.25, 0.5, 0.75
 
 def histogram(df: DataFrame, col: str, bins: int = 50) -> DataFrame:
     """Equal-width bins between min and max, last bin closed; empty bins included.
-    ``bin = least(floor((x - min) * bins / (max - min)), bins - 1)``."""
+    ``bin = least(floor((x - min) * bins / (max - min)), bins - 1)``; all rows of a constant
+    column are in bin 0."""
     x = F.col(col).cast("double")
     mn = df.agg(F.min(x)).scalar()
     mx = df.agg(F.max(x)).scalar()
-    b = F.least(F.floor((x - mn) * F.lit(float(bins)) / (mx - mn)), F.lit(bins - 1)).cast("int")
+    at = F.floor((x - mn) * F.lit(float(bins)) / F.nullif(mx - mn, F.lit(0.0)))
+    b = F.least(F.coalesce(at, F.lit(0)), F.lit(bins - 1)).cast("int")
     counts = df.filter(x.isNotNull()).groupBy(b.alias("bin")).agg(F.count("*").alias("count"))
     spine = df.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))
     return spine.join(counts, "bin", "left").select(

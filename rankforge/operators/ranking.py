@@ -21,6 +21,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def dedupe_qrels(qrels: DataFrame) -> DataFrame:
     """One judgement per (qid, docid): the highest relevance."""
@@ -58,12 +60,14 @@ def rank_distributed(df: DataFrame, order_col: str, ascending: bool = False, par
     """Full 1-based rank within groups without holding a group in one task.
 
     A global range-partitioned sort on (group, order, key) splits even a huge group across many
-    tasks; ``monotonically_increasing_id`` numbers rows in sort order inside each partition; the
+    tasks; ``monotonically_increasing_id`` numbers rows in sort order inside each partition. The
+    numbered rows are written to the shared folder once: sampled range bounds may differ when a
+    sort is evaluated twice, so counts and ranks must come from the same evaluation. The
     per-(group, partition) counts -- a table of groups x partitions rows -- give each partition's
     offset inside its group. Use for unbounded rankings; top-k uses ``rank_within`` + a limit."""
     o = F.col(order_col).asc() if ascending else F.col(order_col).desc()
-    s = df.orderBy(*[F.col(p) for p in part], o, F.col(key).asc()) \
-        .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    s = materialize(df.orderBy(*[F.col(p) for p in part], o, F.col(key).asc())
+                    .withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id()), "ranked")
     stats = s.groupBy(*part, "_pid").agg(F.count("*").alias("_n"), F.min("_mid").alias("_m0"))
     w = Window.partitionBy(*part).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
     offs = stats.withColumn("_off", F.coalesce(F.sum("_n").over(w), F.lit(0)))

@@ -43,7 +43,7 @@ from documents"""),
  cast(case when contains(d.text, b.text) then 2 + coalesce(l.quality, 0) when l.quality = 1 then 1 else 0 end as integer) as relevance_score
 from benchmark b join documents d on contains(d.text, b.text) or d.doc_id % 50 = b.item_id % 50
 left join labels l on l.doc_id = d.doc_id"""),
-    "fx_text_pairs": ((), """select pair_id, query, product_text from (select conv_id * 1000 + turn as pair_id, role, text as query,
+    "fx_text_pairs": ((), """select pair_id, query, product_text from (select concat(conv_id, ':', turn) as pair_id, role, text as query,
  lead(text) over (partition by conv_id order by turn) as product_text, lead(role) over (partition by conv_id order by turn) as next_role
 from conversations) t where role = 'user' and next_role = 'assistant'"""),
     "fx_vec_queries": ((), """select vec_id as qid, embedding::double[] as query_embedding, label from embeddings where vec_id % 10 = 0"""),

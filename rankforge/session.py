@@ -53,6 +53,9 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         d = os.environ.get("RANKFORGE_CHECKPOINT_DIR") or f"/tmp/rankforge-ckpt-{uuid.uuid4().hex[:8]}"
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -60,6 +63,13 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return d
 
 
+def materialize(df, name: str):
+    """Write to the shared checkpoint folder and read back: later plans see one fixed set of rows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder (never a machine-local temp dir)."""
     base = checkpoint_dir(spark).rstrip("/")

@@ -103,7 +103,7 @@ def text_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = c.filter(F.col("role") == "assistant").select(
         "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("product_text"))
     return u.join(a, ["conv_id", "turn"]).select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("pair_id"), "query", "product_text")
+        F.concat_ws(":", "conv_id", "turn").alias("pair_id"), "query", "product_text")
 
 
 def _vectors(spark, sf_dir):

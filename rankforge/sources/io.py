@@ -5,8 +5,8 @@
   Multi-line CSV is not splittable: land it once and convert to Parquet.
 * Training triples (JSON lines) are read with an explicit schema; missing passage lists become
   empty arrays. In Spark the triples are kept **flat** -- one row per passage
-  ``(query_id, query, kind, pos, docid, text)`` -- and are only nested at the file boundary, in
-  chunks of bounded size, so no query's passage list is ever collected into one unbounded row.
+  ``(query_id, query, kind, pos, docid, text)`` -- and are only nested at the file boundary,
+  where the format wants one record per query.
 """
 
 from __future__ import annotations
@@ -27,7 +27,6 @@ PASSAGE = T.StructType([T.StructField("docid", T.LongType()), T.StructField("tex
 TRIPLE_SCHEMA = T.StructType([T.StructField("query_id", T.LongType()), T.StructField("query", T.StringType()),
                               T.StructField("positive_passages", T.ArrayType(PASSAGE)),
                               T.StructField("negative_passages", T.ArrayType(PASSAGE))])
-PASSAGES_PER_RECORD = 1000
 
 
 def read_tsv(spark: SparkSession, path: str, schema: T.StructType, header: bool = False) -> DataFrame:
@@ -64,19 +63,16 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
-def write_triples(flat: DataFrame, path: str, per_record: int = PASSAGES_PER_RECORD) -> None:
-    """Flat passages -> JSON lines, ``per_record`` passages per list at most (hash chunks of a
-    query's docids, each list ordered by ``pos`` then docid)."""
-    counts = flat.groupBy("query_id").agg(F.count("*").alias("_n"))
-    keyed = flat.join(counts, "query_id").withColumn(
-        "_chunk", F.pmod(F.xxhash64("docid"), F.greatest(F.lit(1), F.ceil(F.col("_n") / per_record))))
+def write_triples(flat: DataFrame, path: str) -> None:
+    """Flat passages -> JSON lines, one record per query, each list ordered by ``pos`` then docid.
+    The file format asks for a query's whole lists in one line, so a record is as large as its query."""
     def passages(kind):
         items = F.collect_list(F.struct("kind", "pos", "docid", "text"))
         kept = F.array_sort(F.filter(items, lambda x: x["kind"] == F.lit(kind)))
         return F.transform(kept, lambda x: F.struct(x["docid"].alias("docid"), x["text"].alias("text"))) \
             .alias(f"{kind}_passages")
 
-    grouped = keyed.groupBy("query_id", "_chunk").agg(
+    grouped = flat.groupBy("query_id").agg(
         F.first("query", ignorenulls=True).alias("query"), passages("positive"), passages("negative"))
     grouped.select("query_id", "query", "positive_passages", "negative_passages") \
         .write.mode("overwrite").json(path)

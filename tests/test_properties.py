@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF_SMALL
 from rankforge.functions import vectors as V
-from rankforge.operators import bm25, clean, ranking, sampling, search, towers
+from rankforge.operators import bm25, clean, profile, ranking, sampling, search, towers
 from rankforge.plans import lexical
 from rankforge.session import scratch_path
 from rankforge.sources import fixtures as fx
@@ -80,6 +80,49 @@ def test_distributed_rank_equals_window_rank(spark):
     assert a == b
 
 
+def test_distributed_rank_keeps_extra_columns_of_many_rows(spark):
+    df = spark.range(1_000_000).select(F.lit(1).cast("long").alias("qid"), F.col("id").alias("docid"),
+                                       F.pmod(F.xxhash64("id"), F.lit(1 << 40)).cast("double").alias("score"),
+                                       F.concat(F.lit("text "), "id").alias("text")).repartition(11)
+    r = ranking.rank_distributed(df, "score")
+    assert r.count() == 1_000_000
+    got = r.groupBy().agg(F.count_distinct("rank").alias("n"), F.min("rank").alias("a"), F.max("rank").alias("b"),
+                          F.count_if(F.col("text") != F.concat(F.lit("text "), "docid")).alias("bad")).first()
+    assert (got["n"], got["a"], got["b"], got["bad"]) == (1_000_000, 1, 1_000_000, 0)
+    top = [x["docid"] for x in df.orderBy(F.desc("score"), "docid").limit(50).collect()]
+    assert [x["docid"] for x in r.filter("rank <= 50").orderBy("rank").collect()] == top
+
+
+def test_one_record_per_query_with_many_passages(spark):
+    flat = spark.range(2500).select(F.lit(7).cast("long").alias("query_id"), F.lit("q").alias("query"), F.lit("positive").alias("kind"),
+                                    F.lit(0).alias("pos"), F.col("id").alias("docid"), F.lit("t").alias("text"))
+    path = scratch_path(spark, "triples-large")
+    io.write_triples(flat, path)
+    assert spark.read.json(path).count() == 1
+    assert [(r["pos"], r["docid"]) for r in io.read_triples(spark, path).orderBy("docid").collect()] == [(i, i) for i in range(2500)]
+
+
+def test_histogram_of_a_constant_column(spark):
+    rows = profile.histogram(spark.range(9).select(F.lit(4).alias("x")), "x", 5).orderBy("bin").collect()
+    assert [r["count"] for r in rows] == [9, 0, 0, 0, 0]
+
+
+def test_pair_ids_do_not_collide(spark, tmp_path):
+    spark.createDataFrame([(1, 1000, "user", "a"), (1, 1001, "assistant", "b"), (2, 0, "user", "c"), (2, 1, "assistant", "d")],
+                          "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    from rankforge.sources import fixtures
+
+    assert sorted(tuple(r) for r in fixtures.text_pairs(spark, str(tmp_path)).collect()) == [("1:1000", "a", "b"), ("2:0", "c", "d")]
+
+
+def test_search_returns_n_rows_when_few_match(spark):
+    docs = spark.createDataFrame([(3, "red shoe"), (1, "blue hat"), (2, "green hat"), (9, "")], "id long, product_text string")
+    qs = spark.createDataFrame([(1, "shoe"), (2, "nothing"), (3, None)], "qid long, text string")
+    got = bm25.search(bm25.build_index(docs), qs, n=3).orderBy("qid", "rank").collect()
+    assert [(r["qid"], r["id"]) for r in got] == [(1, 3), (1, 1), (1, 2), (2, 1), (2, 2), (2, 3)]
+    assert [r["score"] == 0 for r in got] == [False, True, True, True, True, True]
+
+
 def test_tsv_ingest_rules(spark):
     path = scratch_path(spark, "edge-tsv")
     import os
