@@ -41,7 +41,9 @@ def test_normalised_vectors_have_unit_norm(spark):
 
 def test_batch_topk_equals_numpy_full_sort(spark):
     q, p = fx.vec_queries(spark, SF_SMALL), fx.vec_products(spark, SF_SMALL)
+    small = search.brute_force_topk(q, p.repartition(3), 7, "dot", query_block=2, candidate_block=5).collect()
     got = search.brute_force_topk(q, p.repartition(3), 7, "dot").collect()
+    assert sorted(map(tuple, small)) == sorted(map(tuple, got))
     Q = {r["qid"]: np.array(r["query_embedding"]) for r in q.collect()}
     P = {r["id"]: np.array(r["product_embedding"]) for r in p.collect()}
     for qid, qv in Q.items():
