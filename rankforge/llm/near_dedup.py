@@ -3,8 +3,8 @@
 * Every text becomes its set of distinct two-word shingles (64-bit hashes). Equal sets are one class; only
   classes are compared.
 * Candidates: classes that agree in all rows of one of the bands. In a bucket every class is first paired with one hub (the class
-  that shares most buckets), which is linear in the bucket; links already connect most of a group. Only
-  classes of a bucket that are still in different components are then paired with each other, so that no link between
+  that shares most buckets), which is linear in the bucket; links already connect most of a group. Classes
+  of a bucket that are still in different components are then paired by an exact prefix filter, so that no link between
   components is lost and a group of copies is never expanded into all pairs.
 * Verification of a pair reads its signatures in batches: after each batch the posterior probability that the
   similarity reaches the threshold (uniform prior) prunes the pair once it falls below ``miss``. Survivors are
@@ -163,6 +163,53 @@ def _size_ok(a: str, b: str):
     return (100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b))
 
 
+def _sets(need: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool, name: str) -> DataFrame:
+    """``(c, set)`` of the classes ``need``, from the texts of their documents."""
+    reps = materialize(classes.join(need, "c", "left_semi").select("c", F.col("doc_id").alias("_id"), "key"), f"compared-{name}")
+    sets = docs.join(small(reps), F.col("doc_id").eqNullSafe(F.col("_id"))).select("c", _set_bytes("text", "key").alias("set")).filter("set is not null")
+    # rows that repeat an id and a text give one set each; the first stands for them
+    return materialize(sets if unique else sets.groupBy("c").agg(F.first("set").alias("set")), f"sets-{name}")
+
+
+@F.arrow_udf(T.ArrayType(T.LongType()))
+def _members(sets: pa.Array) -> pa.Array:
+    return pa.array([np.frombuffer(s, np.int64) for s in sets.to_pylist()], pa.list_(pa.int64()))
+
+
+#: Ratio of neighbouring size bands, and how many bands apart two sizes may be for the threshold.
+SIZE_STEP, SIZE_REACH = 1.04, 6
+
+
+def _needed(a, b):
+    """Shingles that sets of these sizes share at least when they reach the threshold."""
+    return F.ceil(THRESHOLD * (a + b) / F.lit(100.0 + THRESHOLD) - F.lit(1e-9))
+
+
+def prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)`` of classes ``(c, label, n)`` in different components that can reach the threshold.
+
+    Exact prefix and position filter: with the shingles of every set ordered by rarity, the first shared
+    one stands at most ``n - needed`` places from the start in both sets. A copy with so many edits of its own that it is near
+    nothing has only shingles that no other set has in its prefix and meets no one, however large its group is."""
+    member = sets.select("c", F.explode(_members("set")).alias("h"))
+    often = member.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
+    shared = member.join(often, "h").groupBy("c").agg(F.array_sort(F.collect_list(F.struct("m", "h"))).alias("e")).join(classes, "c")
+    alone = F.col("n") - F.size("e")  # shingles of its own stand first
+    room = F.floor(F.col("n") * (100 - THRESHOLD) / 100.0 + F.lit(1e-9)) + 1 - alone
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(SIZE_STEP))
+    first = shared.filter(room > 0).select("c", "label", "n", alone.alias("alone"), band.alias("own"), F.posexplode(F.slice("e", F.lit(1), room.cast("int"))).alias("k", "x"))
+    first = first.select("c", "label", "n", "own", (F.col("alone") + F.col("k")).alias("at"), F.col("x.h").alias("h"))
+    first = first.withColumn("other", F.explode(F.sequence(F.col("own") - SIZE_REACH, F.col("own") + SIZE_REACH)))
+    least = F.floor(F.pow(F.lit(SIZE_STEP), F.col("other")))  # the smallest size of the other band
+    first = materialize(first.filter(F.col("n") - F.col("at") >= _needed(F.col("n"), least)), "prefixes")
+    x = first.select("h", "own", "other", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    y = first.select("h", F.col("own").alias("other"), F.col("other").alias("own"), F.col("c").alias("b"), F.col("label").alias("lb"),
+                     F.col("n").alias("nb"), F.col("at").alias("ib"))
+    need = _needed(F.col("na"), F.col("nb"))
+    return x.join(y, ["h", "own", "other"]).filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (F.col("na") - F.col("ia") >= need)
+                                                  & (F.col("nb") - F.col("ib") >= need)).select("a", "b").distinct()
+
+
 def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool, name: str) -> DataFrame:
     """Of candidate pairs ``(a, b)`` the links: pruned on signatures, confirmed on the full sets."""
     sig = classes.select("c", "n", "sig")
@@ -171,10 +218,7 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: boo
         .filter(_size_ok("na", "nb")).filter(_plausible("sa", "sb")).select("a", "b")
     p = materialize(p, f"plausible-{name}")
     need = p.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    reps = materialize(classes.join(need, "c", "left_semi").select("c", F.col("doc_id").alias("_id"), "key"), f"compared-{name}")
-    sets = docs.join(small(reps), F.col("doc_id").eqNullSafe(F.col("_id"))).select("c", _set_bytes("text", "key").alias("set")).filter("set is not null")
-    # rows that repeat an id and a text give one set each; the first stands for them
-    sets = materialize(sets if unique else sets.groupBy("c").agg(F.first("set").alias("set")), f"sets-{name}")
+    sets = _sets(need, classes, docs, unique, name)
     links = p.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a") \
         .join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b").filter(_similar("x", "y")).select("a", "b")
     return materialize(links, f"links-{name}")
@@ -207,11 +251,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # what is left: classes of a bucket in different components that were not compared yet
     left = weighted.select("c", "bucket").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     open_buckets = left.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("bucket")
-    left = materialize(left.join(open_buckets, "bucket").join(rows.select("c", "n"), "c"), "open")
-    x, y = left.select("bucket", F.col("c").alias("a"), F.col("label").alias("la"), F.col("n").alias("na")), left.select(
-        "bucket", F.col("c").alias("b"), F.col("label").alias("lb"), F.col("n").alias("nb"))
-    rest = x.join(y, "bucket").filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _size_ok("na", "nb")).select("a", "b").distinct() \
-        .join(stars, ["a", "b"], "left_anti")
+    left = materialize(left.join(open_buckets, "bucket").select("c", "label").distinct().join(rows.select("c", "n"), "c"), "open")
+    rest = prefix_pairs(left, _sets(left.select("c"), rows, d, unique, "open")).join(stars, ["a", "b"], "left_anti")
     more = _verified(materialize(rest, "rest"), rows, d, unique, "rest")
     label = components(links.unionByName(more))
     named = cls.select("key", "c", "least").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
