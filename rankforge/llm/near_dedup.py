@@ -265,7 +265,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that are not their component's."""
+    """The rows of ``docs``, all columns, without the documents that are not their component's. Rows without an id
+    stay, as do rows that repeat the kept row."""
     kept = near_duplicates(docs, id_col, text_col)
     drop = kept.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(small(materialize(drop, "duplicates")), docs[id_col] == F.col("_gone"), "left_anti")

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, near_dedup, packing, quality_classifier, quality_rules, repeats, secrets, toxicity
+from . import decontaminate, licenses, lm, near_dedup, oracle, packing, quality_classifier, quality_rules, repeats, secrets, toxicity
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable] = {}
@@ -71,12 +71,12 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contaminated(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-@register("op4_near_duplicates")
+@register("op4_near_duplicates", oracle.OP4)
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_duplicates(documents(spark, sf_dir))
 
 
-@register("op1_repeats")
+@register("op1_repeats", oracle.OP1)
 def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.repeats(documents(spark, sf_dir))
 

@@ -45,3 +45,18 @@ def test_stages(spark):
     assert all((r.text == was[i].text) == (not secrets.scan(was[i].text)) and r.n_chars == len(r.text) for i, r in rows.items())
     was, now = state["packing"]
     assert {r.doc_id for r in now.collect()} == set(was)
+
+
+def test_oracles(spark):
+    import duckdb
+
+    from rankforge.llm.queries import ORACLE, QUERIES
+
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for name, sql in ORACLE.items():
+        got = QUERIES[name](spark, SF)
+        want = con.execute(sql)
+        cols = [c[0] for c in want.description]
+        assert sorted(cols) == sorted(got.columns)
+        assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want.fetchall())
