@@ -58,28 +58,28 @@ def _pairs(spark, sf):
 # ---------------------------------------------------------------- tokens and n-grams
 
 @register("rouge_tokens", O.with_views(
-    f"select pair_id, cast(len({O.rouge_tokens('query')}) as integer) as n_tokens, array_to_string({O.rouge_tokens('query')}, ' ') as tokens from fx_text_pairs",
-    "fx_text_pairs"))
+    f"select turn_id, cast(len({O.rouge_tokens('text')}) as integer) as n_tokens, array_to_string({O.rouge_tokens('text')}, ' ') as tokens from fx_turns",
+    "fx_turns"))
 def q_rouge_tokens(spark, sf):
-    t = rouge_tokens("query")
-    return _pairs(spark, sf).select("pair_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    t = rouge_tokens("text")
+    return fx.turns(spark, sf).select("turn_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
 @register("tfidf_tokens", O.with_views(
-    f"select pair_id, cast(len({O.tfidf_tokens('query')}) as integer) as n_tokens, array_to_string({O.tfidf_tokens('query')}, ' ') as tokens from fx_text_pairs",
-    "fx_text_pairs"))
+    f"select turn_id, cast(len({O.tfidf_tokens('text')}) as integer) as n_tokens, array_to_string({O.tfidf_tokens('text')}, ' ') as tokens from fx_turns",
+    "fx_turns"))
 def q_tfidf_tokens(spark, sf):
-    t = tfidf_tokens(F.col("query"))
-    return _pairs(spark, sf).select("pair_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
+    t = tfidf_tokens(F.col("text"))
+    return fx.turns(spark, sf).select("turn_id", F.size(t).alias("n_tokens"), F.array_join(t, " ").alias("tokens"))
 
 
 @register("ngrams", O.with_views(
-    " union all ".join(f"""select pair_id, {n} as n, g as gram, count(*) as cnt from (select pair_id, unnest({NGRAM(O.rouge_tokens('query'), n)}) as g
- from fx_text_pairs) group by pair_id, g""" for n in (1, 2)), "fx_text_pairs"))
+    " union all ".join(f"""select turn_id, {n} as n, g as gram, count(*) as cnt from (select turn_id, unnest({NGRAM(O.rouge_tokens('text'), n)}) as g
+ from fx_turns) group by turn_id, g""" for n in (1, 2)), "fx_turns"))
 def q_ngrams(spark, sf):
-    p = _pairs(spark, sf).select("pair_id", rouge_tokens("query").alias("t"))
-    return overlap.ngram_counts(p, "pair_id", "t", 1, "q").unionByName(overlap.ngram_counts(p, "pair_id", "t", 2, "q")) \
-        .select("pair_id", "n", "gram", "cnt")
+    p = fx.turns(spark, sf).select("turn_id", rouge_tokens("text").alias("t"))
+    return overlap.ngram_counts(p, "turn_id", "t", 1, "q").unionByName(overlap.ngram_counts(p, "turn_id", "t", 2, "q")) \
+        .select("turn_id", "n", "gram", "cnt")
 
 
 @register("lcs_length")

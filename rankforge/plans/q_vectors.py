@@ -55,20 +55,20 @@ def q_semantic_similarity(spark, sf):
 
 @register("pairwise_diversity", O.with_views(
     f"""select g.label, g.n, round(case when g.n < 2 then 0.0 else coalesce(pr.d, 0.0) end, 6) as diversity
- from (select label, count(*) as n from fx_vec_products group by label) g
+ from (select label, count(*) as n from fx_vectors group by label) g
  left join (select a.label, avg(1 - {COS('a.product_embedding', 'b.product_embedding')}) as d
-            from fx_vec_products a join fx_vec_products b on a.label = b.label and a.id < b.id group by a.label) pr using (label)""",
-    "fx_vec_products"))
+            from fx_vectors a join fx_vectors b on a.label = b.label and a.id < b.id group by a.label) pr using (label)""",
+    "fx_vectors"))
 def q_pairwise_diversity(spark, sf):
-    return rounded(vectors.pairwise_diversity(fx.vec_products(spark, sf), "label", "product_embedding"))
+    return rounded(vectors.pairwise_diversity(fx.vectors(spark, sf), "label", "product_embedding"))
 
 
 @register("l2_normalize", O.with_views(
     """select id, round(sqrt(list_dot_product(u, u)), 6) as norm, round(list_sum(u), 6) as total from
  (select id, list_transform(product_embedding, x -> coalesce(x / nullif(sqrt(list_dot_product(product_embedding, product_embedding)), 0), 0.0)) as u
-  from fx_vec_products)""".replace("x -> ", "lambda x: "), "fx_vec_products"))
+  from fx_vectors)""".replace("x -> ", "lambda x: "), "fx_vectors"))
 def q_l2_normalize(spark, sf):
-    p = fx.vec_products(spark, sf).select("id", V.l2_normalize("product_embedding").alias("u"))
+    p = fx.vectors(spark, sf).select("id", V.l2_normalize("product_embedding").alias("u"))
     return rounded(p.select("id", V.norm("u").alias("norm"),
                             F.aggregate("u", F.lit(0.0), lambda a, x: a + x).alias("total")))
 
@@ -179,10 +179,10 @@ def q_filter_similarity(spark, sf):
 
 
 @register("first_per_group", O.with_views(
-    "select label, min(id) as id, round(arg_min(product_embedding, id)[1], 6) as v0 from fx_vec_products group by label",
-    "fx_vec_products"))
+    "select label, min(id) as id, round(arg_min(product_embedding, id)[1], 6) as v0 from fx_vectors group by label",
+    "fx_vectors"))
 def q_first_per_group(spark, sf):
-    f = vectors.first_per_group(fx.vec_products(spark, sf), "label", "id", "product_embedding")
+    f = vectors.first_per_group(fx.vectors(spark, sf), "label", "id", "product_embedding")
     return rounded(f.select("label", "id", F.col("product_embedding")[0].alias("v0")))
 
 
@@ -219,11 +219,11 @@ def q_topk_accuracy(spark, sf):
 
 
 @register("src_sink_embeddings", O.with_views(
-    "select id, label, cast(len(product_embedding) as integer) as dim, round(list_sum(product_embedding), 6) as total from fx_vec_products",
-    "fx_vec_products"))
+    "select id, label, cast(len(product_embedding) as integer) as dim, round(list_sum(product_embedding), 6) as total from fx_vectors",
+    "fx_vectors"))
 def q_src_sink_embeddings(spark, sf):
     path = scratch_path(spark, "product-vectors")
-    io.write_parquet(fx.vec_products(spark, sf), path, "gzip")
+    io.write_parquet(fx.vectors(spark, sf), path, "gzip")
     back = io.read_parquet(spark, path)
     return rounded(back.select("id", "label", F.size("product_embedding").alias("dim"),
                                F.aggregate("product_embedding", F.lit(0.0), lambda a, x: a + x).alias("total")))

@@ -111,6 +111,16 @@ def _vectors(spark, sf_dir):
     return e.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), "label")
 
 
+def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector as ``(id, product_embedding, label)``, for operators that need no query / product role."""
+    return _vectors(spark, sf_dir).select(F.col("vec_id").alias("id"), F.col("v").alias("product_embedding"), "label")
+
+
+def turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation turn as ``(turn_id, text)``."""
+    return table(spark, sf_dir, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("turn_id"), "text")
+
+
 def vec_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir)
     return v.filter(F.col("vec_id") % VEC_QUERY_MOD == 0).select(
