@@ -27,7 +27,7 @@ P = len(FEATURES)
 #: Medians of the chi-square distribution with P = 6 degrees of freedom (fixed value).
 CHI2_MEDIAN = 5.348
 #: Smallest standard deviation that a statistic is taken to have, in the units of its transform.
-FLOOR = np.array([0.5, 0.4, 0.4, 0.5, 0.2, 0.15])
+FLOOR = np.array([0.5, 0.4, 0.3, 0.5, 0.2, 0.15])
 
 _SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
                        + [T.StructField("v", T.ArrayType(T.DoubleType()))])
@@ -36,8 +36,8 @@ _SCHEMA = T.StructType([T.StructField(c, T.LongType()) for c in ("n_words", "wor
 def _transform(c: dict) -> np.ndarray:
     n, chars = np.maximum(c["n_words"], 1).astype(float), np.maximum(c["word_chars"], 1).astype(float)
     return np.column_stack([
-        np.log1p(c["n_words"]), chars / n, np.log((c["n_symbols"] + 1.0) / (chars + 100)),
-        np.log((c["n_dup_lines"] + 1.0) / (n / 20 + 5)), np.sqrt(c["n_repeat_words"] / n),
+        np.log1p(c["n_words"]), chars / n, np.log(c["n_symbols"] / chars + 0.002),
+        np.log(c["n_dup_lines"] / (n / 20 + 1) + 0.05), np.sqrt(c["n_repeat_words"] / n),
         np.log((c["n_distinct"] + 1) / (n + 1)) + 0.1 * np.log(n),
     ])
 
@@ -115,7 +115,7 @@ def _estimate(rows: DataFrame, shrink_rows: int) -> DataFrame:
     return materialize(e.select("g", "e.mean", "e.icov"), "mcd-estimate")
 
 
-def robust_outliers(stats: DataFrame, group_cols: list[str], id_cols: list[str], h: float = 0.75, steps: int = 3, cutoff: float = 150.0,
+def robust_outliers(stats: DataFrame, group_cols: list[str], id_cols: list[str], h: float = 0.75, steps: int = 3, cutoff: float = 300.0,
                     shrink_rows: int = 200) -> DataFrame:
     """``stats`` (rows with ``v`` and ``base_failed``) plus ``distance`` (scaled, squared) and ``kept``.
 
