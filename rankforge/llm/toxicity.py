@@ -112,7 +112,7 @@ class BoostedTrees:
         return np.clip(np.interp(m, self.knots, self.values), 0, 1) if len(self.knots) else 1 / (1 + np.exp(-m))
 
 
-def _tree(x: np.ndarray, bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, l2: float):
+def _tree(x: np.ndarray, bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray, h: np.ndarray, depth: int, l2: float, least: float):
     """One tree on histogram bins: at every node the feature and cut with the largest gain."""
     inner = 2 ** depth - 1
     feature, cut, leaf = np.zeros(inner, np.int64), np.full(inner, np.inf), np.zeros(2 ** depth)
@@ -127,7 +127,7 @@ def _tree(x: np.ndarray, bins: np.ndarray, cuts: list[np.ndarray], g: np.ndarray
             gl, hl = np.cumsum(gs)[:-1], np.cumsum(hs)[:-1]
             gr, hr = gs.sum() - gl, hs.sum() - hl
             gain = gl ** 2 / (hl + l2) + gr ** 2 / (hr + l2) - gs.sum() ** 2 / (hs.sum() + l2)
-            gain[(hl < 1) | (hr < 1)] = 0
+            gain[(hl < least) | (hr < least)] = 0
             j = int(np.argmax(gain))
             if gain[j] > best:
                 best, feature[k], cut[k] = gain[j], f, cuts[f][j]
@@ -152,8 +152,8 @@ def isotonic(margin: np.ndarray, y: np.ndarray, prior: float = 1.0) -> tuple[np.
     return np.array(knots), np.maximum.accumulate(np.array(values))
 
 
-def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.15, l2: float = 1.0, n_bins: int = 64) -> BoostedTrees:
-    """Logistic boosting. Every fifth row is kept back for the calibration. Without rows of both labels the score is
+def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate: float = 0.15, l2: float = 1.0, n_bins: int = 64, least: float = 4.0) -> BoostedTrees:
+    """Logistic boosting; both sides of a split carry a weight of ``least``, so that a few wrong labels make no leaf. Every fifth row is kept back for the calibration. Without rows of both labels the score is
     the smoothed share of label 1."""
     n1 = float(y.sum())
     share = (n1 + 0.5) / (len(y) + 1)
@@ -170,7 +170,7 @@ def boost(x: np.ndarray, y: np.ndarray, rounds: int = 60, depth: int = 3, rate:
     model = BoostedTrees(base, trees, rate, np.zeros(0), np.zeros(0))
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-m))
-        t = _tree(tx, bins, cuts, p - ty, np.maximum(p * (1 - p), 1e-6), depth, l2)
+        t = _tree(tx, bins, cuts, p - ty, np.maximum(p * (1 - p), 1e-6), depth, l2, least)
         trees.append(t)
         m += BoostedTrees(0.0, [t], rate, np.zeros(0), np.zeros(0)).margin(tx)
     model.knots, model.values = isotonic(model.margin(x[back]), y[back])
