@@ -175,6 +175,20 @@ def test_quality_rules_reject_outliers(spark):
     assert {i for i in got if not got[i].kept} == odd
 
 
+def test_quality_rules_reject_moderate_outliers_of_each_statistic(spark):
+    assert math.isclose(quality_rules.chi2_quantile(0.999), 22.458, abs_tol=1e-3)
+    r = np.random.default_rng(11)
+    prepare(spark)
+    # spreads as real texts have them: symbols, repeated lines and repeated words are nearly always 0
+    v = np.column_stack([r.normal(5.6, 0.4, 1200), r.normal(5, 0.15, 1200), np.full(1200, -6.215), np.full(1200, -2.996), np.zeros(1200), r.normal(0.34, 0.03, 1200)])
+    v[:6] = [5.6, 5, -6.215, -2.996, 0, 0.34]
+    for i, by in enumerate((2.8, 1.1, 1.6, 2.6, 0.6, 0.25)):
+        v[i, i] += by
+    rows = spark.createDataFrame([(i, "en", False, x.tolist()) for i, x in enumerate(v)], "doc_id long, lang string, base_failed boolean, v array<double>")
+    got = rows_of(quality_rules.robust_outliers(rows, ["lang"], ["doc_id"]))
+    assert not any(got[i].kept for i in range(6)) and sum(not got[i].kept for i in got) < 6 + 12
+
+
 def brute_groups(texts):
     sets = []
     for x in texts:
