@@ -1,7 +1,7 @@
 """License scan by ordered signature rules, in DataFrame functions only.
 
 Rules are written by family: each family has a keyword (the prefilter: the rule's pattern runs only on
-texts whose normalised form contains it) and patterns for its name, its identifier and its grant, with and without version.
+texts whose normalised form contains it, so every match of the pattern must contain it at the start of a word) and patterns for its name, its identifier and its grant, with and without version.
 Overlapping detections are resolved by priority and containment: a detection is dropped if another of higher
 priority (or equal priority and longer, or equal length and earlier in the rules) overlaps and contains it.
 
@@ -31,7 +31,7 @@ FAMILIES = (
     ("bsd-2-clause", "bsd", "(simplified bsd|bsd 2 clause|2 clause bsd|two clause bsd)", ()),
     ("bsd-3-clause", "bsd", "(new bsd|modified bsd|revised bsd|bsd 3 clause|3 clause bsd|three clause bsd)", ()),
     ("bsd-4-clause", "bsd", "(original bsd|bsd 4 clause|4 clause bsd|four clause bsd)", ()),
-    ("lgpl", "lesser", "(gnu )?(lesser|library) general public", ("2", "2 0", "2 1", "3", "3 0")),
+    ("lgpl", "general public", "(gnu )?(lesser|library) general public", ("2", "2 0", "2 1", "3", "3 0")),
     ("agpl", "affero", "(gnu )?affero general public", ("1", "1 0", "3", "3 0")),
     ("gpl", "general public", "(gnu )?general public", ("1", "1 0", "2", "2 0", "3", "3 0")),
     ("gfdl", "free documentation", "(gnu )?free documentation", ("1 1", "1 2", "1 3")),
@@ -85,7 +85,7 @@ CC_VERSIONS = ("1 0", "2 0", "2 5", "3 0", "4 0")
 SINGLE = (
     (90, "mit", "permission is hereby granted", "permission is hereby granted free of charge to any person obtaining a copy"),
     (90, "isc", "permission to use copy", "permission to use copy modify and( or)? distribute this software for any purpose"),
-    (90, "bsd", "redistribution and use", "redistributions? and use in source and binary forms"),
+    (90, "bsd", "redistribution", "redistributions? and use in source and binary forms"),
     (90, "zlib", "provided as is without", "this software is provided as is without any express or implied warranty"),
     (90, "unlicense", "unencumbered", "free and unencumbered software released into the public domain"),
     (70, "cc0", "cc0", "cc0( 1 0)?( universal)?"),
@@ -96,7 +96,8 @@ SINGLE = (
     (20, "copyright", "copyright", "copyright( c)?( [12][0-9]{3}){1,2}( by)?( [^ ]+)?"),
     (15, "proprietary", "proprietary", "proprietary and confidential"),
     (15, "confidential", "confidential", "strictly confidential"),
-    (15, "no-distribution", "redistribut", "(may not|must not|do not) (be )?(copied|copy|redistributed?|distributed?)"),
+    *((15, "no-distribution", f"{no} not {be}{key}", f"{no} not {be}{verb}") for no in ("may", "must", "do") for be in ("", "be ")
+      for key, verb in (("cop", "(copied|copy)"), ("redistribut", "redistributed?"), ("distribut", "distributed?"))),
     (10, "permission-required", "permission", "(without|with) (the )?(prior )?written permission"),
     (5, "generic", "licen", "(licensed|released|distributed) under( [^ ]+){1,4} licen[sc]e"),
 )

@@ -440,6 +440,43 @@ def test_licenses(spark):
     assert licenses.licenses(table(spark, own).limit(0)).collect() == []
 
 
+def matches_of(pattern, r):
+    """A random text that the pattern matches."""
+    import re._constants as C
+    from re import _parser
+
+    def some(items):
+        out = ""
+        for op, arg in items:
+            if op is C.LITERAL:
+                out += chr(arg)
+            elif op is C.NOT_LITERAL:
+                out += "x"
+            elif op is C.IN:
+                kind, what = r.choice(arg)
+                out += chr(what if kind is C.LITERAL else r.randint(*what))
+            elif op is C.MAX_REPEAT:
+                out += "".join(some(arg[2]) for _ in range(r.randint(arg[0], min(arg[1], arg[0] + 2))))
+            elif op is C.SUBPATTERN:
+                out += some(arg[3])
+            else:
+                assert op is C.BRANCH
+                out += some(r.choice(arg[1]))
+        return out
+    return some(_parser.parse(pattern))
+
+
+def test_license_keywords_are_in_every_match(spark):
+    r = random.Random(14)
+    for _, label, key, rx in licenses.rules():
+        for _ in range(60):
+            x = matches_of(rx, r)
+            assert re.fullmatch(rx, x) and " " + key in x, (label, key, x)
+    own = ["GNU Library General Public License version 2", "It may not be copied or distributed.", "Redistributions and use in source and binary forms", "you must not copy"]
+    got = rows_of(licenses.digest(licenses.licenses(table(spark, own))))
+    assert [got[i].labels for i in range(4)] == ["gpl,lgpl-2", "no-distribution", "bsd", "no-distribution"]
+
+
 def test_statistics_of_odd_texts():
     import pyarrow as pa
 
