@@ -20,9 +20,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each component of near duplicates."""
+    """Keeps one document of each component of near duplicates: five-word shingles at 0.8."""
     prepare(spark)
-    return near_dedup.one_of_each(docs)
+    return near_dedup.one_of_each(docs, words=5)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

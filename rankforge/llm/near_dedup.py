@@ -1,6 +1,6 @@
 """Near duplicates: banded MinHash with sequential Bayesian verification.
 
-* Every text becomes its set of distinct two-word shingles (64-bit hashes). Equal sets are one class; only
+* Every text becomes its set of distinct shingles of ``words`` words (64-bit hashes; two unless the caller says otherwise). Equal sets are one class; only
   classes are compared.
 * Candidates: classes that agree in all rows of one of the bands. In a bucket every class is first paired with one hub (the class
   that shares most buckets), which is linear in the bucket; links already connect most of a group. Classes
@@ -47,8 +47,8 @@ class _WordHash(dict):
         return h
 
 
-def shingle_sets(texts: list[str | None], known: dict | None = None) -> list[np.ndarray]:
-    """Sorted distinct shingle hashes of each text; a text of one word has that word as its only shingle."""
+def shingle_sets(texts: list[str | None], known: dict | None = None, width: int = 2) -> list[np.ndarray]:
+    """Sorted distinct hashes of each text's shingles of ``width`` words; all words of a shorter text are its only shingle."""
     known = _WordHash() if known is None else known
     out = []
     for x in texts:
@@ -56,10 +56,13 @@ def shingle_sets(texts: list[str | None], known: dict | None = None) -> list[np.
         if len(known) > 500_000:
             known.clear()
         h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(h) >= 2:
-            h = _mix(h[:-1] * np.uint64(_MIX[0]) + h[1:])
-        elif len(h):
-            h = _mix(h + np.uint64(1))
+        if len(h):
+            k = min(width, len(h))
+            n = len(h) - k + 1
+            g = h[:n]
+            for j in range(1, k):
+                g = _mix(g * np.uint64(_MIX[0]) + h[j:j + n])
+            h = g if k == width else _mix(g + np.uint64(1))
         out.append(np.unique(h))
     return out
 
@@ -86,16 +89,21 @@ def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
     return out
 
 
+def _sets_of(texts: pa.Array, width: pa.Array) -> list[np.ndarray]:
+    """The sets of a batch; ``width`` is the same in all rows."""
+    return shingle_sets(texts.to_pylist(), width=width[0].as_py()) if len(texts) else []
+
+
 _PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
                          T.StructField("sig", T.BinaryType())])
 
 
 @F.arrow_udf(_PROFILE)
-def profile(texts: pa.Array) -> pa.Array:
+def profile(texts: pa.Array, width: pa.Array) -> pa.Array:
     """Size of the shingle set, a 128-bit key of the set, the band hashes and the signature for verification."""
     import xxhash
 
-    sets = shingle_sets(texts.to_pylist())
+    sets = _sets_of(texts, width)
     full = [i for i, s in enumerate(sets) if len(s)]
     sig = signatures([sets[i] for i in full], max(ROWS * BANDS, VERIFY))
     bands = np.zeros((len(full), BANDS), np.uint64)
@@ -150,23 +158,31 @@ def _similar(a: pa.Array, b: pa.Array) -> pa.Array:
 
 
 @F.arrow_udf(T.BinaryType())
-def _set_bytes(texts: pa.Array, keys: pa.Array) -> pa.Array:
+def _set_bytes(texts: pa.Array, keys: pa.Array, width: pa.Array) -> pa.Array:
     """The set of each text, NULL if it is not the one with the key."""
     import xxhash
 
-    sets = [s.tobytes() for s in shingle_sets(texts.to_pylist())]
+    sets = [s.tobytes() for s in _sets_of(texts, width)]
     return pa.array([s if xxhash.xxh128_digest(s) == k else None for s, k in zip(sets, keys.to_pylist(), strict=True)], pa.binary())
 
 
+@F.arrow_udf(T.BinaryType())
+def _set_key(texts: pa.Array, width: pa.Array) -> pa.Array:
+    """The key of each text's set as in ``profile``, NULL for the empty set."""
+    import xxhash
+
+    return pa.array([xxhash.xxh128_digest(s.tobytes()) if len(s) else None for s in _sets_of(texts, width)], pa.binary())
+
+
 def _size_ok(a: str, b: str):
     """Sizes that allow the threshold at all."""
     return (100 * F.least(a, b) >= THRESHOLD * F.greatest(a, b))
 
 
-def _sets(need: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool, name: str) -> DataFrame:
+def _sets(need: DataFrame, classes: DataFrame, docs: DataFrame, words: int, unique: bool, name: str) -> DataFrame:
     """``(c, set)`` of the classes ``need``, from the texts of their documents."""
     reps = materialize(classes.join(need, "c", "left_semi").select("c", F.col("doc_id").alias("_id"), "key"), f"compared-{name}")
-    sets = docs.join(small(reps), F.col("doc_id").eqNullSafe(F.col("_id"))).select("c", _set_bytes("text", "key").alias("set")).filter("set is not null")
+    sets = docs.join(small(reps), F.col("doc_id").eqNullSafe(F.col("_id"))).select("c", _set_bytes("text", "key", F.lit(words)).alias("set")).filter("set is not null")
     # rows that repeat an id and a text give one set each; the first stands for them
     return materialize(sets if unique else sets.groupBy("c").agg(F.first("set").alias("set")), f"sets-{name}")
 
@@ -210,7 +226,7 @@ def prefix_pairs(classes: DataFrame, sets: DataFrame) -> DataFrame:
                                                   & (F.col("nb") - F.col("ib") >= need)).select("a", "b").distinct()
 
 
-def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: bool, name: str) -> DataFrame:
+def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int, unique: bool, name: str) -> DataFrame:
     """Of candidate pairs ``(a, b)`` the links: pruned on signatures, confirmed on the full sets."""
     sig = classes.select("c", "n", "sig")
     p = pairs.join(sig.select(F.col("c").alias("a"), F.col("n").alias("na"), F.col("sig").alias("sa")), "a") \
@@ -218,20 +234,16 @@ def _verified(pairs: DataFrame, classes: DataFrame, docs: DataFrame, unique: boo
         .filter(_size_ok("na", "nb")).filter(_plausible("sa", "sb")).select("a", "b")
     p = materialize(p, f"plausible-{name}")
     need = p.select(F.explode(F.array("a", "b")).alias("c")).distinct()
-    sets = _sets(need, classes, docs, unique, name)
+    sets = _sets(need, classes, docs, words, unique, name)
     links = p.join(sets.select(F.col("c").alias("a"), F.col("set").alias("x")), "a") \
         .join(sets.select(F.col("c").alias("b"), F.col("set").alias("y")), "b").filter(_similar("x", "y")).select("a", "b")
     return materialize(links, f"links-{name}")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (smallest id reachable, itself included), kept
-    (doc_id = component_id).
-
-    Texts without words have an empty set, are linked with nothing and kept. A NULL id takes part, but cannot be a component's
-    id unless all its members have none; then component_id is NULL and the document is kept."""
+def _grouped(docs: DataFrame, id_col: str, text_col: str, words: int) -> tuple[DataFrame, DataFrame, bool]:
+    """``(doc_id, n, key)`` of every row, ``(key, label, component_id)`` of every set, and whether no id repeats."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    prof = materialize(d.select("doc_id", profile("text").alias("p")).select("doc_id", "p.*").withColumn("rid", F.monotonically_increasing_id()), "profiles")
+    prof = materialize(d.select("doc_id", profile("text", F.lit(words)).alias("p")).select("doc_id", "p.*").withColumn("rid", F.monotonically_increasing_id()), "profiles")
     unique = prof.groupBy("doc_id").count().filter("count > 1").isEmpty()
     # classes of equal sets, named by a row number; one of the rows stands for the class
     cls = materialize(prof.filter("n > 0").groupBy("key").agg(F.min("doc_id").alias("least"), F.min("rid").alias("c"), F.count("*").alias("copies")), "classes")
@@ -246,27 +258,52 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     hubs = weighted.groupBy("bucket").agg(F.min(F.struct(-F.col("w"), "c"))["c"].alias("hub"))
     stars = weighted.join(hubs, "bucket").filter("c != hub").select(F.least("c", "hub").alias("a"), F.greatest("c", "hub").alias("b")).distinct()
     stars = materialize(stars, "stars")
-    links = _verified(stars, rows, d, unique, "stars")
+    links = _verified(stars, rows, d, words, unique, "stars")
     label = materialize(components(links), "star-labels")
     # what is left: classes of a bucket in different components that were not compared yet
     left = weighted.select("c", "bucket").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     open_buckets = left.groupBy("bucket").agg(F.min("label").alias("l1"), F.max("label").alias("l2")).filter("l1 < l2").select("bucket")
     left = materialize(left.join(open_buckets, "bucket").select("c", "label").distinct().join(rows.select("c", "n"), "c"), "open")
-    rest = prefix_pairs(left, _sets(left.select("c"), rows, d, unique, "open")).join(stars, ["a", "b"], "left_anti")
-    more = _verified(materialize(rest, "rest"), rows, d, unique, "rest")
+    rest = prefix_pairs(left, _sets(left.select("c"), rows, d, words, unique, "open")).join(stars, ["a", "b"], "left_anti")
+    more = _verified(materialize(rest, "rest"), rows, d, words, unique, "rest")
     label = components(links.unionByName(more))
     named = cls.select("key", "c", "least").join(label.withColumnRenamed("node", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
     ids = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_key = materialize(named.join(ids, "label").select("key", "component_id"), "component-of-set")
+    return prof, materialize(named.join(ids, "label").select("key", "label", "component_id"), "component-of-set"), unique
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2) -> DataFrame:
+    """Per document: doc_id, n_shingles, component_id (smallest id reachable, itself included), kept
+    (doc_id = component_id). A shingle has ``words`` words.
+
+    Texts without words have an empty set, are linked with nothing and kept. A NULL id takes part, but cannot be a component's
+    id unless all its members have none; then component_id is NULL and the document is kept."""
+    prof, by_key, _ = _grouped(docs, id_col, text_col, words)
     out = prof.select("doc_id", "n", "key").join(by_key, "key", "left").withColumn(
         "component_id", F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("component_id")))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id",
                       F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("component_id").isNull()).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, all columns, without the documents that are not their component's. Rows without an id
-    stay, as do rows that repeat the kept row."""
-    kept = near_duplicates(docs, id_col, text_col)
-    drop = kept.filter(~F.col("kept") & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(small(materialize(drop, "duplicates")), docs[id_col] == F.col("_gone"), "left_anti")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 2) -> DataFrame:
+    """The rows of ``docs``, all columns, without those that do not stand for their component.
+
+    A component's text is that of its smallest id (of several texts with this id, the one with the smallest key). Rows are told apart by
+    id and set: of two rows with one id, one may go and the other stay. Rows without an id stay, as do rows that repeat the
+    kept row."""
+    prof, by_key, unique = _grouped(docs, id_col, text_col, words)
+    of = prof.select("doc_id", "key").join(by_key, "key")
+    stands = of.filter("doc_id = component_id").groupBy("label").agg(F.min("key").alias("stands"))
+    gone = of.filter("doc_id is not null").join(stands, "label").filter("doc_id != component_id or key != stands")
+    gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct(), "duplicates")
+    if unique:
+        return docs.join(small(gone.select("_gone")), docs[id_col] == F.col("_gone"), "left_anti")
+    # ids of which only some rows go: their texts' keys decide
+    stay = prof.join(gone, prof["doc_id"].eqNullSafe(F.col("_gone")) & prof["key"].eqNullSafe(F.col("_key")), "left_anti")
+    mixed = materialize(gone.select("_gone").distinct().join(stay.select(F.col("doc_id").alias("_gone")), "_gone", "left_semi"), "part-duplicates")
+    whole = materialize(gone.select("_gone").distinct().join(mixed, "_gone", "left_anti"), "whole-duplicates")
+    rows = docs.join(small(whole), docs[id_col] == F.col("_gone"), "left_anti")
+    some = materialize(gone.join(mixed, "_gone", "left_semi"), "part-keys")
+    marked = rows.join(small(mixed.withColumnRenamed("_gone", "_mixed")), F.col(id_col) == F.col("_mixed"), "left")
+    marked = marked.withColumn("_own", _set_key(F.when(F.col("_mixed").isNotNull(), F.col(text_col)), F.lit(words)))
+    return marked.join(small(some), (F.col("_mixed") == F.col("_gone")) & (F.col("_own") == F.col("_key")), "left_anti").select(*docs.columns)

@@ -230,6 +230,29 @@ def test_near_duplicates_odd_ids(spark):
     assert near_dedup.near_duplicates(table(spark, ["x"]).limit(0)).collect() == []
 
 
+def test_near_duplicates_of_five_words(spark):
+    r = random.Random(12)
+    base = prose(200, r).split()
+    few, some = list(base), list(base)
+    few[50] = "zz0"
+    for i in range(10, 190, 18):  # near on two words, not on five
+        some[i] = f"zz{i}"
+    own = [" ".join(base), " ".join(few), " ".join(some), "a b c", "A b  c", "a b"]
+    assert [i for i, x in sorted(rows_of(near_dedup.near_duplicates(table(spark, own), words=5)).items()) if x.kept] == [0, 2, 3, 5]
+    assert [i for i, x in sorted(rows_of(near_dedup.near_duplicates(table(spark, own))).items()) if x.kept] == [0, 3, 5]
+    assert sorted(x.doc_id for x in near_dedup.one_of_each(table(spark, own), words=5).collect()) == [0, 2, 3, 5]
+
+
+def test_one_of_each_tells_rows_of_one_id_apart(spark):
+    r = random.Random(13)
+    a, b, c = (prose(60, r) for _ in range(3))
+    docs = table(spark, [a, a, b, b, c, "", c + " end"], [2, 4, 4, 9, 7, 4, 7])
+    got = near_dedup.one_of_each(docs)
+    # id 4 stands for b, not for a; of the two near texts of id 7 one is enough
+    rows = [(x.doc_id, x.text) for x in got.collect()]
+    assert sorted(x for x in rows if x[0] != 7) == sorted([(2, a), (4, b), (4, "")]) and len(rows) == 4 and got.columns == docs.columns
+
+
 def test_pruning_bounds_keep_similar_pairs():
     least = near_dedup.least_agreements(0.8, 1e-6)
     r = np.random.default_rng(2)

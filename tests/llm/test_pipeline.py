@@ -60,3 +60,14 @@ def test_oracles(spark):
         cols = [c[0] for c in want.description]
         assert sorted(cols) == sorted(got.columns)
         assert sorted(map(tuple, got.select(*cols).collect())) == sorted(want.fetchall())
+
+
+def test_near_duplicate_stage_compares_five_words(spark):
+    prepare(spark)
+    words = [f"w{i}" for i in range(200)]
+    few, some = list(words), list(words)
+    few[50] = "zz"
+    for i in range(10, 190, 18):  # near on two words, not on five
+        some[i] = f"zz{i}"
+    docs = spark.createDataFrame([(i, " ".join(x), "en", "s", 1) for i, x in enumerate((words, few, some))], "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()) == [0, 2]
