@@ -329,6 +329,23 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int):
 PART = 4096
 
 
+#: Groups that the weights of a round's tasks are summed in first.
+TEAMS = 64
+
+
+def weight_rows(own: Weights, n: int) -> pa.RecordBatch:
+    """A task's weights times its tokens, in parts. The last position is the tokens themselves, so that a weight and its divisor are
+    sums over the same rows. The team depends on the partition alone: a task that is run again sends its rows to the same place."""
+    from pyspark import TaskContext
+
+    task = TaskContext.get()
+    flat = np.append(own.flat().astype(np.float64) * n, n)
+    parts = [flat[i:i + PART] for i in range(0, len(flat), PART)]
+    team = (task.partitionId() if task else 0) % TEAMS
+    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([team] * len(parts), pa.int32()),
+                                       pa.array(parts, pa.list_(pa.float64()))], ["part", "team", "w"])
+
+
 def train(ids: DataFrame, start: Weights, end: int, rounds: int, rate: float) -> Weights:
     """Weights after ``rounds`` rounds over the training rows of ``ids(ids, turn)``."""
     w = start
@@ -342,27 +359,21 @@ def train(ids: DataFrame, start: Weights, end: int, rounds: int, rate: float) ->
                 own, moment = train_documents(own, texts, end, moment, rate)
                 n += sum(map(len, texts))
             if n:
-                flat = own.flat().astype(np.float64) * n
-                parts = [flat[i:i + PART] for i in range(0, len(flat), PART)]
-                import os
-
-                group = int.from_bytes(os.urandom(2), "little") % 64
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(range(len(parts)), pa.int32()), pa.array([group] * len(parts), pa.int32()), pa.array([n] * len(parts), pa.int64()),
-                    pa.array(parts, pa.list_(pa.float64()))], ["part", "team", "n", "w"])
+                yield weight_rows(own, n)
 
-        sent = ids.filter(F.col("turn") == k).select("ids").mapInArrow(run, "part int, team int, n bigint, w array<double>")
+        sent = ids.filter(F.col("turn") == k).select("ids").mapInArrow(run, "part int, team int, w array<double>")
         got = _summed(_summed(sent, ["part", "team"]), ["part"]).orderBy("part").collect()
         if got:
-            w = start.like(np.concatenate([np.array(r["w"]) / r["n"] for r in got]))
+            total = np.concatenate([np.array(r["w"]) for r in got])
+            w = start.like(total[:-1] / total[-1])
     return w
 
 
 def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Element-wise sums of ``w``; one position is a row, so no array of arrays is gathered in a task."""
-    total = rows.select(*keys, "n", F.posexplode("w").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("n").alias("n"), F.sum("x").alias("x"))
-    return total.groupBy(*keys).agg(F.max("n").alias("n"), F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).select(
-        *keys, "n", F.transform("s", lambda s: s["x"]).alias("w"))
+    total = rows.select(*keys, F.posexplode("w").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
+    return total.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).select(
+        *keys, F.transform("s", lambda s: s["x"]).alias("w"))
 
 
 def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, rounds: int = 3, rate: float = 0.01,

@@ -113,6 +113,20 @@ def test_language_model_is_a_probability_and_independent_of_neighbours():
     assert lm.score_documents(trained, docs * 20, 0).sum() > before
 
 
+def test_language_model_rows_of_a_task_are_the_same_again(spark, monkeypatch):
+    prepare(spark)
+    vocab = lm.Vocabulary([b"%d" % i for i in range(20)], np.arange(20, 0, -1), 500, 30, 20)
+    docs = [(np.arange(i % 20, dtype="<u2").tobytes(), 0) for i in range(1, 60)]
+    ids = spark.createDataFrame(docs, "ids binary, turn int").repartition(6).localCheckpoint()
+    sent, summed = [], lm._summed
+    monkeypatch.setattr(lm, "_summed", lambda rows, keys: sent.append(rows) or summed(rows, keys))
+    w = lm.train(ids, lm.initial(vocab, 4), 20, 1, 0.01)
+    once, again = (sorted(sent[0].collect()) for _ in range(2))
+    assert once == again and len({r.team for r in once}) > 1
+    total = np.sum([r.w for r in once], axis=0)
+    assert total[-1] == sum(len(x) // 2 for x, _ in docs) and np.allclose(w.flat(), total[:-1] / total[-1], rtol=1e-5, atol=1e-6)
+
+
 def test_language_model_gradients():
     r = np.random.default_rng(1)
     vocab = lm.Vocabulary([b"%d" % i for i in range(70)], np.sort(r.integers(1, 100, 70))[::-1].copy(), 5000, 200, 64)
