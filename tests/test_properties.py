@@ -169,3 +169,10 @@ def test_tower_training_loss_falls_and_is_deterministic(spark):
     losses = [x[1] for x in h1]
     assert losses[-1] < losses[0]
     assert np.allclose(losses, [x[1] for x in h2], rtol=1e-9)
+
+
+def test_all_vectors_are_embedded(spark):
+    from rankforge.plans import q_towers
+
+    got = q_towers.q_embed_candidates(spark, SF_SMALL)
+    assert sorted(r.id for r in got.collect()) == sorted(r.id for r in fx.vectors(spark, SF_SMALL).collect())
