@@ -26,3 +26,15 @@ u as (select x as a, y as b from links union all select y, x from links),
 reach(doc_id, c) as (select doc_id, doc_id from documents union select r.doc_id, u.b from reach r join u on u.a = r.c),
 least as (select doc_id, min(c) as component_id from reach group by doc_id)
 select sets.doc_id, cast(len(sh) as bigint) as n_shingles, component_id, sets.doc_id = component_id as kept from sets join least using (doc_id)"""
+
+#: Every window of 13 words by its hash and the smallest document that holds it; covered words go.
+OP11 = """
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+k as (select doc_id, i, md5(array_to_string(ws[i:i + 12], ' ')) as g from (select doc_id, ws, unnest(range(1, len(ws) - 11)) as i from w where len(ws) >= 13)),
+f as (select g, min(doc_id) as least from k group by g),
+c as (select distinct doc_id, unnest(range(i, i + 13)) as j from k join f using (g) where doc_id > least),
+p as (select doc_id, unnest(ws) as x, unnest(range(1, len(ws) + 1)) as j from w),
+s as (select p.doc_id, string_agg(x, ' ' order by j) as t from p anti join c on c.doc_id = p.doc_id and c.j = p.j group by p.doc_id),
+n as (select doc_id, count(*) as n from c group by doc_id)
+select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n.n, 0) as bigint) as n_removed, sha256(coalesce(s.t, '')) as kept_sha256
+from w left join n on n.doc_id = w.doc_id left join s on s.doc_id = w.doc_id"""

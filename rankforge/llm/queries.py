@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, near_dedup, oracle, packing, quality_classifier, quality_rules, repeats, secrets, toxicity
+from . import decontaminate, licenses, lm, near_dedup, oracle, packing, quality_classifier, quality_rules, repeats, secrets, substring_dedup, toxicity
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable] = {}
@@ -84,3 +84,8 @@ def op1_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op2_language_model")
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.lm_scores(documents(spark, sf_dir))
+
+
+@register("op11_substring_dedup", oracle.OP11)
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
