@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, licenses, lm, near_dedup, oracle, packing, quality_classifier, quality_rules, repeats, secrets, substring_dedup, toxicity
+from . import alignment, decontaminate, licenses, lm, near_dedup, oracle, packing, quality_classifier, quality_rules, repeats, secrets, substring_dedup, toxicity
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable] = {}
@@ -54,11 +54,11 @@ def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.digest(licenses.licenses(documents(spark, sf_dir)))
 
 
-def tokenizer_path() -> str:
-    """The 50k byte-level vocabulary among the public tokenizers."""
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    """A file of the public tokenizers, the 50k byte-level vocabulary unless named."""
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.json")
+    return public_tokenizers.path(name)
 
 
 @register("op7_packing")
@@ -89,3 +89,8 @@ def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op11_substring_dedup", oracle.OP11)
 def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.substring_dedup(documents(spark, sf_dir)).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+@register("op12_token_alignment")
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignment(documents(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
