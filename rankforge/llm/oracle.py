@@ -38,3 +38,17 @@ s as (select p.doc_id, string_agg(x, ' ' order by j) as t from p anti join c on
 n as (select doc_id, count(*) as n from c group by doc_id)
 select w.doc_id, cast(len(ws) as bigint) as n_words, cast(coalesce(n.n, 0) as bigint) as n_removed, sha256(coalesce(s.t, '')) as kept_sha256
 from w left join n on n.doc_id = w.doc_id left join s on s.doc_id = w.doc_id"""
+
+#: All scores of the anchors, ranked; positives joined to the rows inside their windows.
+OP13 = """
+with e as (select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+ list_transform(embedding, lambda x: cast(floor(256 * cast(x as double)) as bigint)) as v
+ from embeddings where label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+s as (select a.vec_id as anchor_id, b.vec_id as other, a.label = b.label as same,
+ cast(list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2])) as bigint) as score
+ from e a join e b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+p as (select * from (select *, row_number() over (partition by anchor_id order by score desc, other) as r from s where same) where r <= 5),
+n as (select p.anchor_id, p.other as positive_id, s.other as negative_id, p.score as positive_score, s.score as negative_score,
+ row_number() over (partition by p.anchor_id, p.other order by s.score desc, s.other) as rank
+ from p join s on s.anchor_id = p.anchor_id and not s.same and 80 * p.score <= 100 * s.score and s.score <= p.score)
+select anchor_id, positive_id, cast(rank as int) as rank, negative_id, positive_score, negative_score from n where rank <= 5"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import alignment, decontaminate, licenses, lm, near_dedup, oracle, packing, quality_classifier, quality_rules, repeats, secrets, substring_dedup, toxicity
+from . import alignment, decontaminate, hard_negatives, licenses, lm, near_dedup, oracle, packing, quality_classifier, quality_rules, repeats, secrets, substring_dedup, toxicity
 from .common import documents, prepare
 
 QUERIES: dict[str, Callable] = {}
@@ -94,3 +94,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op12_token_alignment")
 def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.alignment(documents(spark, sf_dir), tokenizer_path(), tokenizer_path("piece_bpe_32k.model"))
+
+
+@register("op13_hard_negatives", oracle.OP13)
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.quantised(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+    shifted = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(rows.withColumn("label", shifted))
