@@ -18,14 +18,25 @@ from ..session import configure, scratch_path
 BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
 
 
-def prepare(spark: SparkSession) -> SparkSession:
-    """Runtime settings that the operators rely on, for the caller's session."""
+def prepare(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> SparkSession:
+    """Runtime settings that the operators rely on, for the caller's session; ``rows`` and ``size`` (bytes) of an Arrow batch."""
     configure(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
     return spark
 
 
+def fresh_names(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until no column of ``df`` has them (whatever the case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for n in names:
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write to the shared checkpoint folder and read back: cuts the lineage and survives lost executors."""
     spark = df.sparkSession

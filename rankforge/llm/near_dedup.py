@@ -22,8 +22,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import materialize, small
+from .common import fresh_names, materialize, small, utf8, worker_state
 from .graph import components
+from .substring_dedup import Words
 
 THRESHOLD = 80
 ROWS, BANDS = 6, 40
@@ -39,31 +40,35 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-class _WordHash(dict):
-    def __missing__(self, w: bytes) -> int:
-        import xxhash
+#: Bytes of text hashed at once.
+SLICE_BYTES = 1 << 20
 
-        h = self[w] = xxhash.xxh64_intdigest(w)
-        return h
 
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """The bytes with A-Z in lower case."""
+    return data + ((data >= 65) & (data <= 90)).astype(np.uint8) * np.uint8(32)
 
-def shingle_sets(texts: list[str | None], known: dict | None = None, width: int = 2) -> list[np.ndarray]:
+
+def shingle_sets(texts: pa.Array, width: int = 2) -> list[np.ndarray]:
     """Sorted distinct hashes of each text's shingles of ``width`` words; all words of a shorter text are its only shingle."""
-    known = _WordHash() if known is None else known
-    out = []
-    for x in texts:
-        words = x.encode().lower().split() if x else []
-        if len(known) > 500_000:
-            known.clear()
-        h = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
-        if len(h):
-            k = min(width, len(h))
-            n = len(h) - k + 1
-            g = h[:n]
-            for j in range(1, k):
-                g = _mix(g * np.uint64(_MIX[0]) + h[j:j + n])
-            h = g if k == width else _mix(g + np.uint64(1))
-        out.append(np.unique(h))
+    words, out = worker_state(("set-words",), Words), []
+
+    def combined(h: np.ndarray, k: int) -> np.ndarray:
+        n = max(0, len(h) - k + 1)
+        g = h[:n]
+        for j in range(1, k):
+            g = _mix(g * np.uint64(_MIX[0]) + h[j:j + n])
+        return g
+
+    data, off = utf8(texts)
+    lo = 0
+    while lo < len(off) - 1:
+        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + SLICE_BYTES, "right")) - 1)
+        h, at = words.split(_lowered(data[off[lo]:off[hi]]), off[lo:hi + 1] - off[lo])
+        shingle = combined(h, width)
+        for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+            out.append(np.unique(shingle[a:b - width + 1] if b - a >= width else _mix(combined(h[a:b], max(b - a, 1)) + np.uint64(1))))
+        lo = hi
     return out
 
 
@@ -91,7 +96,7 @@ def signatures(sets: list[np.ndarray], k: int) -> np.ndarray:
 
 def _sets_of(texts: pa.Array, width: pa.Array) -> list[np.ndarray]:
     """The sets of a batch; ``width`` is the same in all rows."""
-    return shingle_sets(texts.to_pylist(), width=width[0].as_py()) if len(texts) else []
+    return shingle_sets(texts, width[0].as_py()) if len(texts) else []
 
 
 _PROFILE = T.StructType([T.StructField("n", T.LongType()), T.StructField("key", T.BinaryType()), T.StructField("bands", T.ArrayType(T.LongType())),
@@ -110,11 +115,13 @@ def profile(texts: pa.Array, width: pa.Array) -> pa.Array:
     for r in range(ROWS):
         bands = _mix(bands * np.uint64(_MIX[0]) + sig[:, r:ROWS * BANDS:ROWS].astype(np.uint64) + np.uint64(1))
     bands = _mix(bands + np.arange(BANDS, dtype=np.uint64)).view(np.int64)
-    short = sig[:, :VERIFY].astype("<u2")
-    rows: list = [{"n": 0, "key": None, "bands": None, "sig": None}] * len(sets)
+    size = np.array([len(x) for x in sets], np.int64)
+    key, short = [None] * len(sets), [None] * len(sets)
     for k, i in enumerate(full):
-        rows[i] = {"n": len(sets[i]), "key": xxhash.xxh128_digest(sets[i].tobytes()), "bands": bands[k], "sig": short[k].tobytes()}
-    return pa.array(rows, pa.struct([("n", pa.int64()), ("key", pa.binary()), ("bands", pa.list_(pa.int64())), ("sig", pa.binary())]))
+        key[i], short[i] = xxhash.xxh128_digest(sets[i].tobytes()), sig[k, :VERIFY].astype("<u2").tobytes()
+    at = np.concatenate([[0], np.cumsum((size > 0) * BANDS)]).astype(np.int32)
+    return pa.StructArray.from_arrays([pa.array(size), pa.array(key, pa.binary()), pa.ListArray.from_arrays(pa.array(at), pa.array(bands.ravel())), pa.array(short, pa.binary())],
+                                      ["n", "key", "bands", "sig"])
 
 
 def least_agreements(threshold: float, miss: float, rows: int = VERIFY, batch: int = BATCH) -> np.ndarray:
@@ -295,15 +302,17 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     of = prof.select("doc_id", "key").join(by_key, "key")
     stands = of.filter("doc_id = component_id").groupBy("label").agg(F.min("key").alias("stands"))
     gone = of.filter("doc_id is not null").join(stands, "label").filter("doc_id != component_id or key != stands")
-    gone = materialize(gone.select(F.col("doc_id").alias("_gone"), F.col("key").alias("_key")).distinct(), "duplicates")
+    # names that no column of the caller's rows has
+    g, k, m, o = fresh_names(docs, "gone_id", "gone_key", "mixed_id", "own_key")
+    gone = materialize(gone.select(F.col("doc_id").alias(g), F.col("key").alias(k)).distinct(), "duplicates")
     if unique:
-        return docs.join(small(gone.select("_gone")), docs[id_col] == F.col("_gone"), "left_anti")
+        return docs.join(small(gone.select(g)), F.col(id_col) == F.col(g), "left_anti")
     # ids of which only some rows go: their texts' keys decide
-    stay = prof.join(gone, prof["doc_id"].eqNullSafe(F.col("_gone")) & prof["key"].eqNullSafe(F.col("_key")), "left_anti")
-    mixed = materialize(gone.select("_gone").distinct().join(stay.select(F.col("doc_id").alias("_gone")), "_gone", "left_semi"), "part-duplicates")
-    whole = materialize(gone.select("_gone").distinct().join(mixed, "_gone", "left_anti"), "whole-duplicates")
-    rows = docs.join(small(whole), docs[id_col] == F.col("_gone"), "left_anti")
-    some = materialize(gone.join(mixed, "_gone", "left_semi"), "part-keys")
-    marked = rows.join(small(mixed.withColumnRenamed("_gone", "_mixed")), F.col(id_col) == F.col("_mixed"), "left")
-    marked = marked.withColumn("_own", _set_key(F.when(F.col("_mixed").isNotNull(), F.col(text_col)), F.lit(words)))
-    return marked.join(small(some), (F.col("_mixed") == F.col("_gone")) & (F.col("_own") == F.col("_key")), "left_anti").select(*docs.columns)
+    stay = prof.join(gone, prof["doc_id"].eqNullSafe(F.col(g)) & prof["key"].eqNullSafe(F.col(k)), "left_anti")
+    mixed = materialize(gone.select(g).distinct().join(stay.select(F.col("doc_id").alias(g)), g, "left_semi"), "part-duplicates")
+    whole = materialize(gone.select(g).distinct().join(mixed, g, "left_anti"), "whole-duplicates")
+    rows = docs.join(small(whole), F.col(id_col) == F.col(g), "left_anti")
+    some = materialize(gone.join(mixed, g, "left_semi"), "part-keys")
+    marked = rows.join(small(mixed.withColumnRenamed(g, m)), F.col(id_col) == F.col(m), "left")
+    marked = marked.withColumn(o, _set_key(F.when(F.col(m).isNotNull(), F.col(text_col)), F.lit(words)))
+    return marked.join(small(some), (F.col(m) == F.col(g)) & (F.col(o) == F.col(k)), "left_anti").select(*docs.columns)

@@ -73,7 +73,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("op4_near_duplicates", oracle.OP4)
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_dedup.near_duplicates(documents(spark, sf_dir))
+    return near_dedup.near_duplicates(documents(prepare(spark, 500, 4 << 20), sf_dir))
 
 
 @register("op1_repeats", oracle.OP1)

@@ -265,6 +265,24 @@ def test_one_of_each_tells_rows_of_one_id_apart(spark):
     # id 4 stands for b, not for a; of the two near texts of id 7 one is enough
     rows = [(x.doc_id, x.text) for x in got.collect()]
     assert sorted(x for x in rows if x[0] != 7) == sorted([(2, a), (4, b), (4, "")]) and len(rows) == 4 and got.columns == docs.columns
+    for name in ("gone_id", "GONE_KEY", "own_key"):  # the operator's own names among the caller's columns
+        more = docs.withColumn(name, docs["rid"])
+        assert sorted((x.doc_id, x.text) for x in near_dedup.one_of_each(more).collect()) == sorted(rows)
+
+
+def test_shingle_sets_against_words(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(near_dedup, "SLICE_BYTES", 50)
+    own = ["a b c a b", "A B\tC", None, "", "one", "ONE", "é b c", "a b", "x" * 200 + " y z", "c a b"]
+    for width in (1, 2, 5):
+        got = near_dedup.shingle_sets(pa.array(own), width)
+        words = [ascii_lower(x or "").split() for x in own]
+        want = [{tuple(w[i:i + width]) for i in range(len(w) - width + 1)} or ({("short", *w)} if w else set()) for w in words]
+        assert [len(s) for s in got] == [len(s) for s in want]
+        for x, p in zip(got, want, strict=True):
+            for y, q in zip(got, want, strict=True):
+                assert len(np.intersect1d(x, y)) == len(p & q)
 
 
 def test_pruning_bounds_keep_similar_pairs():
@@ -369,7 +387,7 @@ def test_token_encoder_equals_the_tokenizer():
 
     tok = Tokenizer.from_file(tokenizer_path())
     tok.encode_special_tokens = True
-    own = ["", " ", "a  b", " a", "a ", "a\nb c", "\n", "x <|endoftext|> y", "é è z", "a \n b", "it's a'll 12 3!!", "a  b", "a\x1c b \x85 c", prose(500), "tab\tx y", "日本 語 x"]
+    own = ["", " ", "a  b", " a", "a ", "a\nb c", "\n", "x <|endoftext|> y", "é è z", "a \n b", "it's a'll 12 3!!", "a  b", "a\x1c b \x85 c", prose(500), "tab\tx y", "日本 語 x", "a <|endoftext|>b <|endoftext|> é\u3000 z", " ".join(f"w{k}\u00e9{k * k}" for k in range(3000))]
     enc = packing.TextEncoder(tokenizer_path())
     for _ in range(2):
         assert [x.tolist() for x in enc.encode(own)] == [tok.encode(x, add_special_tokens=False).ids for x in own]
@@ -400,7 +418,14 @@ def test_packing(spark, texts):
             at += n
         assert at <= 1024
     assert len(seqs) <= math.ceil(sum(r.length for r in got) / 1024) * 1.05 + 2
-    assert packing.packed_documents(table(spark, ["x"]).limit(0), tokenizer_path()).collect() == []
+    # the certificate: what the bound says of every partition and of the whole
+    for r in got:
+        assert 1 <= r.part_bound <= r.part_bins and (r.length < 1024 or r.part_bins == 1)
+    c = packing.certificate(spark.createDataFrame(got)).collect()
+    bound = packing.lower_bound(np.bincount([r.length for r in got], minlength=1025), 1024)
+    assert [tuple(x) for x in c] == [(len(seqs), bound, len(seqs) - bound)] and c[0].gap >= 0
+    none = packing.packed_documents(table(spark, ["x"]).limit(0), tokenizer_path())
+    assert none.collect() == [] and [tuple(x) for x in packing.certificate(none).collect()] == [(0, 0, 0)]
 
 
 def test_packing_bound_and_fit():
