@@ -51,6 +51,10 @@ class TextEncoder:
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
+        # bytes of each id: a byte-level piece has a character for every byte
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocab.values()) + 1, np.int64)
+        self.size[list(vocab.values())] = [len(p) for p in vocab]
         self.reset()
 
     def reset(self) -> None:
@@ -63,9 +67,25 @@ class TextEncoder:
         return len(self.at) - 2 + len(self.fresh)
 
     def _encode(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of all units, one after another, and how many each has; units are encoded independently."""
-        e = self.tok.encode(units, is_pretokenized=True, add_special_tokens=False)
-        return np.array(e.ids, np.uint32), np.bincount(np.array(e.word_ids, np.int64), minlength=len(units))
+        """Ids of all units, one after another, and how many each has. Units that begin with the separating blank are cut apart by the tokenizer's own
+        rule, so they are encoded as one text and told apart by their bytes; the others go in a call of their own."""
+        marked = np.array([u[:1] == " " for u in units], bool)
+        ids, lens = np.zeros(0, np.uint32), np.zeros(len(units), np.int64)
+        parts = []
+        if marked.any():
+            own = [u for u in units if u[:1] == " "]
+            run = np.array(self.tok.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.cumsum([len(u.encode()) for u in own])
+            lens[marked] = np.diff(np.searchsorted(np.cumsum(self.size[run]), ends, "right"), prepend=0)
+            parts.append((np.repeat(np.flatnonzero(marked), lens[marked]), run))
+        if not marked.all():
+            e = self.tok.encode([u for u in units if u[:1] != " "], is_pretokenized=True, add_special_tokens=False)
+            lens[~marked] = np.bincount(np.array(e.word_ids, np.int64), minlength=int((~marked).sum()))
+            parts.append((np.repeat(np.flatnonzero(~marked), lens[~marked]), np.array(e.ids, np.uint32)))
+        if parts:
+            owner, ids = (np.concatenate(x) for x in zip(*parts, strict=True))
+            ids = ids[np.argsort(owner, kind="stable")]
+        return ids, lens
 
     def encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         """Ids of each text, without an end."""
@@ -84,7 +104,7 @@ class TextEncoder:
             self.fresh = []
         for x, n in zip(texts, numbers, strict=True):
             if n is None:
-                yield self._encode([x])[0] if x else np.zeros(0, np.uint32)
+                yield np.array(self.tok.encode_batch_fast([x], add_special_tokens=False)[0].ids, np.uint32) if x else np.zeros(0, np.uint32)
                 continue
             lens = self.at[n + 1] - self.at[n]
             ends = np.cumsum(lens)
@@ -162,7 +182,7 @@ def best_fit_decreasing(lengths: np.ndarray, size: int) -> tuple[np.ndarray, np.
 
 
 def _pack_round(rows: DataFrame, parts: int, size: int, round_no: int) -> DataFrame:
-    """Rows with ``sequence_id``, ``offset``, ``fill`` of the bin, the partition's ``gap`` to its bound and ``last``
+    """Rows with ``sequence_id``, ``offset``, ``fill`` of the bin, the partition's bins ``part_bins`` and their lower bound ``part_bound``, and ``last``
     (the emptiest bin of the partition)."""
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values("rid")
@@ -170,18 +190,21 @@ def _pack_round(rows: DataFrame, parts: int, size: int, round_no: int) -> DataFr
         bins, offsets, fill = best_fit_decreasing(lengths, size)
         bound = lower_bound(np.bincount(lengths, minlength=size + 1), size)
         return part.assign(sequence_id=(np.int64(round_no) << 56) + (part["part"].to_numpy().astype(np.int64) << 28) + bins, offset=offsets,
-                           fill=fill[bins], gap=np.int64(len(fill) - bound), last=bins == int(np.argmin(fill)))
+                           fill=fill[bins], part_bins=np.int64(len(fill)), part_bound=np.int64(bound), last=bins == int(np.argmin(fill)))
     cols = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("rid", F.lit(round_no)), F.lit(parts)))
-    return dealt.groupBy("part").applyInPandas(pack, f"{cols}, part bigint, sequence_id bigint, offset bigint, fill bigint, gap bigint, last boolean")
+    return dealt.groupBy("part").applyInPandas(pack, f"{cols}, part bigint, sequence_id bigint, offset bigint, fill bigint, part_bins bigint, part_bound bigint, last boolean")
 
 
 def pack(rows: DataFrame, size: int = 1024, part_rows: int = 40_000, rounds: int = 3) -> DataFrame:
-    """``rows`` (with ``length`` from 1 to ``size``) plus ``sequence_id`` and ``offset``."""
+    """``rows`` (with ``length`` from 1 to ``size``) plus ``sequence_id``, ``offset``, ``part_bins`` and ``part_bound``: the sequences of the
+    partition that packed the row last, and how many any packing of that partition needs. Equal numbers certify the partition; after ``rounds``
+    rounds partitions may be left with a gap, which the two columns show. Empty input gives no rows."""
     rows = materialize(rows.withColumn("rid", F.monotonically_increasing_id()), "pieces")
     keep = rows.columns
-    own = [*keep, "sequence_id", "offset"]
-    done = [rows.filter(F.col("length") == size).withColumn("sequence_id", -1 - F.col("rid")).withColumn("offset", F.lit(0).cast("long")).select(*own)]
+    own = [*keep, "sequence_id", "offset", "part_bins", "part_bound"]
+    done = [rows.filter(F.col("length") == size).withColumn("sequence_id", -1 - F.col("rid")).withColumn("offset", F.lit(0).cast("long"))
+            .withColumn("part_bins", F.lit(1).cast("long")).withColumn("part_bound", F.lit(1).cast("long")).select(*own)]
     pool = rows.filter(F.col("length") < size)
     before = None
     for k in range(rounds):
@@ -199,7 +222,7 @@ def pack(rows: DataFrame, size: int = 1024, part_rows: int = 40_000, rounds: int
             done.append(now.select(*own))
             before = None
             break
-        open_bin = (F.col("fill") < size) & ((F.col("gap") > 0) | F.col("last"))
+        open_bin = (F.col("fill") < size) & ((F.col("part_bins") > F.col("part_bound")) | F.col("last"))
         done.append(now.filter(~open_bin).select(*own))
         before = now.filter(open_bin)
         pool = before.select(*keep)
@@ -210,5 +233,17 @@ def pack(rows: DataFrame, size: int = 1024, part_rows: int = 40_000, rounds: int
 
 
 def packed_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", size: int = 1024, **params) -> DataFrame:
-    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound.
+
+    A NULL or empty text is one token, the end; long texts are cut whole, whatever their length. Rows that repeat an id or a text are documents of
+    their own and packed by themselves. Lengths tie by row. Other columns of ``docs`` are not read; an empty table gives no rows."""
     return pack(pieces(docs, tokenizer_path, id_col, text_col, size), size, **params)
+
+
+def certificate(packed: DataFrame, size: int = 1024) -> DataFrame:
+    """One row: how many sequences ``packed`` has, how many any packing of its lengths needs at least, and the gap between the two."""
+    counts = np.zeros(size + 1, np.int64)
+    for r in packed.groupBy("length").count().collect():  # at most ``size`` rows
+        counts[r["length"]] = r["count"]
+    bound = lower_bound(counts, size)
+    return packed.agg(F.count_distinct("sequence_id").alias("sequences")).select("sequences", F.lit(bound).cast("long").alias("bound"), (F.col("sequences") - bound).alias("gap"))
