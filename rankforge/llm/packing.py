@@ -24,8 +24,8 @@ from .common import materialize, worker_state
 
 END = 2
 PIECE = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
-#: Entries of a worker's table of known words; beyond it the table starts anew (a bound on memory only).
-KNOWN_WORDS = 800_000
+#: Entries of a worker's table of known words; beyond it, and with every task, the table starts anew (a bound on memory only).
+KNOWN_WORDS = 400_000
 
 
 class WordTable(dict):
@@ -124,6 +124,13 @@ def pieces(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_co
     """Rows ``PIECE``: the pieces of every document, ids ending in ``END``. A NULL text is empty (one token)."""
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = worker_state(("encoder", tokenizer_path), lambda: TextEncoder(tokenizer_path))
+        enc.reset()
+        try:
+            yield from cut_up(enc, batches)
+        finally:
+            enc.reset()  # the worker lives on, for other work
+
+    def cut_up(enc: TextEncoder, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for lo in range(0, b.num_rows, 256):
                 part = b.slice(lo, 256)
