@@ -24,6 +24,27 @@ def test_containment_scan_equals_naive_substring_search(spark):
     assert got == want and len(want) > 0
 
 
+def test_containment_of_odd_patterns_and_hot_windows(spark):
+    import random
+
+    rng = random.Random(7)
+    words = ["ab", "abc", "b", "c", "é", "中文", "x.y", "it's"]
+    texts = [None, "", " ", "ab", "a", "xab cy", "ab  c", "ab\nc b", " lead", "trail ", "one two three four five six"]
+    texts += [rng.choice([" ", " ", "\n", "  "]).join(rng.choice(words) for _ in range(rng.randint(1, 30))) for _ in range(300)]
+    pats = [None, "", " ", "a", "b c", "ab  c", "c b ab", "zzz", "ne two three four fiv", "wo three f", " lead", "trail ", "文 é", "文", "\n", "x.y it's b c é 中"]
+    for t in texts[11:111]:  # pieces of texts, cut anywhere
+        a = rng.randrange(len(t))
+        pats.append(t[a:a + rng.randint(1, 40)])
+    pats += [texts[20], texts[20], texts[20] + " never", "ab abc b c"]
+    docs = spark.createDataFrame([(i // 2 if i < 20 else i, t) for i, t in enumerate(texts)] + [(None, "ab")], "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(pats)) + [(None, "ab")], "item_id long, text string")
+    got = Counter((r["doc_id"], r["pattern_id"]) for r in contains_matches(docs, "doc_id", "text", bench, "item_id", "text").collect())
+    want = Counter((i // 2 if i < 20 else i, j) for i, t in enumerate(texts) for j, x in enumerate(pats) if t is not None and x is not None and x in t)
+    assert got == want
+    assert contains_matches(docs, "doc_id", "text", bench.limit(0), "item_id", "text").collect() == []
+    assert contains_matches(docs.limit(0), "doc_id", "text", bench, "item_id", "text").collect() == []
+
+
 def test_bm25_scores_equal_plain_python_okapi(spark):
     k1, b, eps = 1.2, 0.9, 0.1
     coll = clean.clean_collection(fx.collection(spark, SF_SMALL)).select("id", "product_text")
