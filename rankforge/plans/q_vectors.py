@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..operators import clean, ranking, search, vectors
+from ..operators.ball_search import BallIndex
 from ..session import scratch_path
 from ..sources import fixtures as fx
 from ..sources import io
@@ -94,24 +95,26 @@ def _topk_sql(expr, k, asc=False):
     return O.with_views(
         f"""select qid, id, rank, round(score, 6) as score from (select q.qid, p.id, round({expr}, 9) as score,
  cast(row_number() over (partition by q.qid order by round({expr}, 9) {o}, p.id) as integer) as rank
- from fx_vec_queries q cross join fx_vec_products p) where rank <= {k}""", "fx_vec_queries", "fx_vec_products")
+ from fx_search_queries q cross join fx_vectors p) where rank <= {k}""", "fx_search_queries", "fx_vectors")
 
 
 @register("brute_force_topk", _topk_sql(DOT("q.query_embedding", "p.product_embedding"), 10))
 def q_brute_force_topk(spark, sf):
-    """Exact top-10 products per query by inner product (block matmul in Arrow batches)."""
-    return rounded(search.brute_force_topk(fx.vec_queries(spark, sf), fx.vec_products(spark, sf), 10, "dot"))
+    """Exact top-10 vectors per query by inner product (block matmul), over all vectors."""
+    return rounded(search.brute_force_topk(fx.search_queries(spark, sf), fx.vectors(spark, sf), 10, "dot"))
 
 
 @register("index_search", _topk_sql("list_distance(q.query_embedding, p.product_embedding)", 10, asc=True))
 def q_index_search(spark, sf):
-    """``index.search(q, k)``: exact 10 nearest by Euclidean distance, ascending."""
-    return rounded(search.brute_force_topk(fx.vec_queries(spark, sf), fx.vec_products(spark, sf), 10, "l2"))
+    """``index.search(q, k)``: exact 10 nearest of all vectors by Euclidean distance, ascending, from a written index."""
+    path = scratch_path(spark, "ball-index")
+    BallIndex.build(fx.vectors(spark, sf), "l2").write(path)
+    return rounded(BallIndex.read(spark, path).search(fx.search_queries(spark, sf), 10))
 
 
 @register("index_top_n", _topk_sql("list_distance(q.query_embedding, p.product_embedding)", 5, asc=True))
 def q_index_top_n(spark, sf):
-    return rounded(search.brute_force_topk(fx.vec_queries(spark, sf), fx.vec_products(spark, sf), 5, "l2"))
+    return rounded(BallIndex.build(fx.vectors(spark, sf), "l2").search(fx.search_queries(spark, sf), 5))
 
 
 @register("judged_candidates", O.with_views(
@@ -203,19 +206,19 @@ def q_eval_embeddings(spark, sf):
 
 _ACC = O.with_views(
     "select " + ", ".join(f"round(avg(case when n + 1 <= {k} then 1.0 else 0.0 end), 6) as top_{k}" for k in (1, 5, 10, 50, 100))
-    + ", count(*) as n_pairs from cnt", *VV,
+    + ", count(*) as n_pairs from cnt", *VV, "fx_vectors",
     extra=[("pp", f"select r.qid, r.docid, round({DOT('q.query_embedding', 'p.product_embedding')}, 9) as own {PAIRS_SQL} where r.relevance_score >= 1"),
            ("cnt", f"""select pp.qid, pp.docid, count(c.id) as n from pp join fx_vec_queries q on q.qid = pp.qid
- left join fx_vec_products c on c.id <> pp.docid and round({DOT('q.query_embedding', 'c.product_embedding')}, 9) > pp.own
+ left join fx_vectors c on c.id <> pp.docid and round({DOT('q.query_embedding', 'c.product_embedding')}, 9) > pp.own
  group by pp.qid, pp.docid""")])
 
 
 @register("topk_accuracy", _ACC)
 def q_topk_accuracy(spark, sf):
-    """Share of relevant pairs whose own product ranks in the top 1/5/10/50/100 of all products."""
+    """Share of relevant pairs whose own product ranks in the top 1/5/10/50/100 of all vectors."""
     q, p, r = _v(spark, sf)
     pairs = vectors.pair_scores(r.filter("relevance_score >= 1").select("qid", "docid"), q, p, fn=V.dot, out="own_score")
-    return rounded(search.topk_accuracy(search.greater_counts(q, p, pairs, "dot")))
+    return rounded(search.topk_accuracy(search.greater_counts(q, fx.vectors(spark, sf), pairs, "dot")))
 
 
 @register("src_sink_embeddings", O.with_views(
