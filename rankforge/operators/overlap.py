@@ -3,7 +3,7 @@
 N-gram overlap is relational: explode n-grams with counts per (row, side), equi join on
 (row, gram) and sum ``least(count_pred, count_ref)`` -- partial aggregation everywhere.
 The longest common subsequence (ROUGE-L / Lsum) is a per-row dynamic programme; it runs in an
-Arrow-batched pandas UDF with a NumPy row recurrence (``cummax``), a small per-row helper.
+Arrow-batched pandas UDF, bit-parallel: a table row is one integer of as many bits as the text has tokens.
 """
 
 from __future__ import annotations
@@ -49,39 +49,59 @@ def rouge_n(df: DataFrame, key: str, pred: str, ref: str, orders=(1, 2)) -> Data
     return out
 
 
-# ---- per-row LCS helpers (pure NumPy on token lists) ----
+# ---- per-row LCS helpers: bit-parallel rows in Python integers ----
+
+def _masks(tokens) -> dict:
+    """Bit j of a token's mask: it stands at place j."""
+    out: dict = {}
+    for j, t in enumerate(tokens):
+        out[t] = out.get(t, 0) | 1 << j
+    return out
+
+
+def _next_row(row: int, mask: int, full: int) -> int:
+    """One row of the LCS table, as bits: a zero at j where the length grows from j to j + 1."""
+    both = row & mask
+    return ((row + both) | (row - both)) & full
+
 
 def lcs_len(a, b) -> int:
-    import numpy as np
-
-    if len(a) == 0 or len(b) == 0:
-        return 0
-    vocab: dict = {}
-    ia = np.array([vocab.setdefault(t, len(vocab)) for t in a])
-    ib = np.array([vocab.setdefault(t, len(vocab)) for t in b])
-    prev = np.zeros(len(ib) + 1, dtype=np.int32)
-    for x in ia:
-        t = np.maximum(prev[1:], prev[:-1] + (ib == x))
-        cur = np.empty_like(prev)
-        cur[0] = 0
-        cur[1:] = np.maximum.accumulate(t)
-        prev = cur
-    return int(prev[-1])
+    """Length of the longest common subsequence: one row of ``len(b)`` bits per token of ``a``."""
+    masks, full = _masks(b), (1 << len(b)) - 1
+    row = full
+    for t in a:
+        m = masks.get(t)
+        if m is not None:
+            row = _next_row(row, m, full)
+    return len(b) - row.bit_count()
 
 
 def _lcs_indices(ref, cand):
-    """Positions in ``ref`` of one LCS with ``cand`` (standard backtrack)."""
+    """Positions in ``ref`` of one LCS with ``cand``: going back through the table, a match is taken, else the row before if it has the
+    greater length, else the column before.
+
+    Only every s-th row of bits is kept, s about the root of the number of rows; rows between are made again from there, so memory is
+    about 2 * s rows of bits."""
     n, m = len(ref), len(cand)
-    table = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(1, n + 1):
-        for j in range(1, m + 1):
-            table[i][j] = table[i - 1][j - 1] + 1 if ref[i - 1] == cand[j - 1] else max(table[i - 1][j], table[i][j - 1])
-    i, j, out = n, m, []
+    masks, full = _masks(cand), (1 << m) - 1
+    step = max(1, int(n ** 0.5))
+    row, kept = full, [full]
+    for i, t in enumerate(ref, 1):
+        row = _next_row(row, masks.get(t, 0), full)
+        if i % step == 0:
+            kept.append(row)
+    i, j, out, first, rows = n, m, [], n + 1, []
     while i > 0 and j > 0:
+        if i < first:
+            first = (i - 1) // step * step + 1  # rows first .. first + step - 1
+            rows, row = [], kept[first // step]
+            for t in ref[first - 1:min(n, first + step - 1)]:
+                row = _next_row(row, masks.get(t, 0), full)
+                rows.append(row)
         if ref[i - 1] == cand[j - 1]:
             out.append(i - 1)
             i, j = i - 1, j - 1
-        elif table[i - 1][j] > table[i][j - 1]:
+        elif not rows[i - first] >> (j - 1) & 1:
             i -= 1
         else:
             j -= 1

@@ -82,9 +82,19 @@ def q_ngrams(spark, sf):
         .select("turn_id", "n", "gram", "cnt")
 
 
-@register("lcs_length")
+#: The table row by row: each step extends every pair's row by one token of the query (a running maximum over the columns).
+_LCS_SQL = O.with_views(
+    """select pair_id, cast(coalesce(list_max(s), 0) as bigint) as lcs from lcs_rows where i = len(a)""", "fx_text_pairs",
+    extra=[("lcs_toks", f"select pair_id, {O.rouge_tokens('query')} as a, {O.rouge_tokens('product_text')} as b from fx_text_pairs"),
+           ("lcs_rows(pair_id, a, b, i, s)", """select pair_id, a, b, 0, list_transform(b, lambda x: 0) from lcs_toks
+ union all select pair_id, a, b, i + 1, list_transform(range(1, len(c) + 1), lambda j: list_max(c[1:j])) from (select pair_id, a, b, i,
+ list_transform(range(1, len(b) + 1), lambda j: greatest(s[j], coalesce(s[j - 1], 0) + case when b[j] = a[i + 1] then 1 else 0 end)) as c
+ from lcs_rows where i < len(a)) t""")]).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@register("lcs_length", _LCS_SQL)
 def q_lcs_length(spark, sf):
-    """Longest common subsequence of the ROUGE tokens of query and text (rows-only check)."""
+    """Longest common subsequence of the ROUGE tokens of query and text."""
     p = _pairs(spark, sf).select("pair_id", rouge_tokens("query").alias("a"), rouge_tokens("product_text").alias("b"))
     return p.select("pair_id", overlap.lcs_length_udf(F.col("a"), F.col("b")).alias("lcs"))
 

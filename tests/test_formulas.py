@@ -140,3 +140,49 @@ def test_tower_gradient_matches_finite_differences():
         t2[i] += eps
         l2, _ = towers.batch_loss_grad(t2[:len(tq)], t2[len(tq):], xq, xp, 5, 6, layers)
         assert (l2 - loss) / eps == pytest.approx(g[i], rel=1e-3, abs=1e-5)
+
+
+def _lcs_table(a, b):
+    t = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i in range(1, len(a) + 1):
+        for j in range(1, len(b) + 1):
+            t[i][j] = t[i - 1][j - 1] + 1 if a[i - 1] == b[j - 1] else max(t[i - 1][j], t[i][j - 1])
+    return t
+
+
+def test_bit_parallel_lcs_equals_the_table():
+    import random
+
+    rng = random.Random(8)
+    for _ in range(400):
+        a, b = ([rng.choice("abcdefgh"[:rng.randint(1, 8)]) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        t = _lcs_table(a, b)
+        assert overlap.lcs_len(a, b) == t[-1][-1]
+        i, j, want = len(a), len(b), []
+        while i and j:
+            if a[i - 1] == b[j - 1]:
+                want.append(i - 1)
+                i, j = i - 1, j - 1
+            elif t[i - 1][j] > t[i][j - 1]:
+                i -= 1
+            else:
+                j -= 1
+        assert overlap._lcs_indices(a, b) == want[::-1]
+
+
+def test_lcs_of_long_texts_in_bounded_memory():
+    import random
+    import tracemalloc
+
+    rng = random.Random(9)
+    words = [str(k) for k in range(500)]
+    a = [rng.choice(words) for _ in range(20_000)]
+    b = [w for w in a if rng.random() < 0.7] + [rng.choice(words) for _ in range(6_000)]
+    tracemalloc.start()
+    at = overlap._lcs_indices(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20e6  # the table would have some 400 million cells
+    assert len(at) == overlap.lcs_len(a, b) > 13_000 and all(x < y for x, y in zip(at, at[1:]))
+    it = iter(b)
+    assert all(a[i] in it for i in at)  # a subsequence of the other text too
