@@ -1,5 +1,7 @@
 """Properties: splits, sampling, negatives, search paths, judged-first evaluation, ingest rules."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -171,6 +173,58 @@ def test_tower_training_loss_falls_and_is_deterministic(spark):
     assert np.allclose(losses, [x[1] for x in h2], rtol=1e-9)
 
 
+def _plain_training(rows, batch_of, n_batches, layers, epochs, per_step, optimizer, seed, lr=0.1):
+    """The same training in one process: whole batches, one after another."""
+    from rankforge.operators.towers import OPTIMIZERS, batch_loss_grad, init_params
+
+    dim = len(rows[0][2])
+    theta = np.concatenate([init_params(dim, layers, seed), init_params(dim, layers, seed + 1)])
+    nq, steps = len(theta) // 2, math.ceil(n_batches / per_step)
+    opt = OPTIMIZERS[optimizer](lr, 0.1, epochs * steps)
+    state, losses = opt.start(len(theta)), []
+    for _ in range(epochs):
+        total = 0.0
+        for k in range(steps):
+            g = np.zeros(len(theta))
+            for b in range(k * per_step, (k + 1) * per_step):
+                own = sorted(r for r in rows if batch_of[r[0], r[1]] == b)
+                if own:
+                    x, d = batch_loss_grad(theta[:nq], theta[nq:], np.array([r[2] for r in own]), np.array([r[3] for r in own]), dim, dim, layers)
+                    g, total = g + d, total + x
+            theta, state = opt.step(theta, g, state)
+        losses.append(total)
+    return theta, losses
+
+
+def test_barrier_training_equals_a_plain_loop_and_validates(spark):
+    rng = np.random.default_rng(6)
+    base = rng.normal(size=(90, 6))
+    rows = [(i, 1000 + i % 80, base[i].tolist(), (base[i % 80] + 0.05 * rng.normal(size=6)).tolist()) for i in range(90)]
+    schema = "qid long, docid long, query_embedding array<double>, product_embedding array<double>"
+    pairs, val = spark.createDataFrame(rows[:70], schema), spark.createDataFrame(rows[70:], schema)
+    cands = spark.createDataFrame([(1000 + i, rows[i][3]) for i in range(80)], "id long, product_embedding array<double>")
+    n_batches = 5
+    dealt = pairs.select("qid", "docid", towers._batch_of(3, n_batches).alias("b")).collect()
+    batch_of = {(r.qid, r.docid): r.b for r in dealt}
+    for per_step, optimizer in ((1, "adagrad"), (2, "adam")):
+        tq, tp, in_q, in_p, layers, h = towers.train_towers(pairs, layers=[7, 5], epochs=3, batch_size=14, seed=3, batches_per_step=per_step, optimizer=optimizer,
+                                                           validation=val, candidates=cands)
+        theta, losses = _plain_training(rows[:70], batch_of, n_batches, [7, 5], 3, per_step, optimizer, 3)
+        assert np.allclose(np.concatenate([tq, tp]), theta, rtol=1e-9, atol=1e-12) and np.allclose([x[1] for x in h], losses, rtol=1e-9)
+        assert [x[2] for x in h] == [70] * 3 and len(h[0]) == 9
+        # the last epoch's validation, by hand
+        query, product = towers.unpack(tq, in_q, layers)[0], towers.unpack(tp, in_p, layers)[0]
+        q, own = (towers.forward(t, np.array([r[c] for r in rows[70:]]))[0] for t, c in ((query, 2), (product, 3)))
+        c = towers.forward(product, np.array([rows[i][3] for i in range(80)]))[0]
+        s, limit = np.round(q @ c.T, 9), np.round((q * own).sum(1), 9)
+        better = ((s > limit[:, None]) & (1000 + np.arange(80)[None, :] != np.array([r[1] for r in rows[70:]])[:, None])).sum(1)
+        assert [round(x, 9) for x in h[-1][4:]] == [round(float((better < k).mean()), 9) for k in towers.KS]
+        b = spark.createDataFrame(rows[70:], schema).select("qid", towers._batch_of(3, 2).alias("b")).collect()
+        groups = [sorted(r for r in rows[70:] if r[0] in {x.qid for x in b if x.b == k}) for k in (0, 1)]
+        want = sum(towers.batch_loss_grad(tq, tp, np.array([r[2] for r in g]), np.array([r[3] for r in g]), 6, 6, layers)[0] for g in groups if g)
+        assert h[-1][3] == pytest.approx(want)
+
+
 def test_all_vectors_are_embedded(spark):
     from rankforge.plans import q_towers
 
