@@ -61,6 +61,14 @@ from fx_vec_queries q join fx_vec_products p on q.label = p.label or p.id % 20 =
  1 + cast(floor(cast(json_extract_string(props, '$.k') as int) / 10) as int) as epoch,
  round(avg(value), 6) as mean, round(min(value), 6) as min, round(max(value), 6) as max from events group by 1, 2)
  unpivot (value for metric in (mean, min, max))"""),
+    "fx_entries": ((), """select event_id as step, cast(floor(cast(json_extract_string(props, '$.k') as int) / 10) as double) as epoch,
+ case when event_type in ('click', 'view') then value end as loss, case when event_type in ('click', 'view') then value / 2 end as grad_norm,
+ case when event_type = 'click' then value / 1000 end as learning_rate, case when event_type = 'purchase' then value end as eval_loss,
+ case when event_type = 'purchase' then value + 1 end as eval_runtime, case when event_type = 'purchase' then value * 2 end as eval_samples_per_second,
+ case when event_type = 'purchase' and value > 10 then value * 3 end as eval_steps_per_second,
+ case when event_type not in ('click', 'view', 'purchase') then cast(json_extract_string(props, '$.k') as int) + event_id / 1000 end as elapsed_time,
+ case when event_type not in ('click', 'view', 'purchase') then value + 100 end as memory_usage_mb,
+ case when event_type = 'error' then value / 10 end as cpu_usage_percent from events"""),
     "fx_log": ((), """select event_id as step, cast(json_extract_string(props, '$.k') as int) as epoch,
  case when event_type in ('click','view') then value end as loss,
  case when event_type = 'purchase' then value end as eval_loss from events"""),

@@ -193,3 +193,18 @@ def trainer_log(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("event_type").isin("click", "view"), F.col("value")).alias("loss"),
         F.when(F.col("event_type") == "purchase", F.col("value")).alias("eval_loss"),
     )
+
+
+def log_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """T17 entries of a trainer and resource log, keys absent where NULL: clicks and views train, purchases evaluate, the others tell resources."""
+    e = table(spark, sf_dir, "events")
+    k, v, kind = F.get_json_object("props", "$.k").cast("int"), F.col("value"), F.col("event_type")
+    train, ev = kind.isin("click", "view"), kind == "purchase"
+    other = ~train & ~ev
+    return e.select(
+        F.col("event_id").alias("step"), F.floor(k / 10).cast("double").alias("epoch"),
+        F.when(train, v).alias("loss"), F.when(train, v / 2).alias("grad_norm"), F.when(kind == "click", v / 1000).alias("learning_rate"),
+        F.when(ev, v).alias("eval_loss"), F.when(ev, v + 1).alias("eval_runtime"), F.when(ev, v * 2).alias("eval_samples_per_second"),
+        F.when(ev & (v > 10), v * 3).alias("eval_steps_per_second"),
+        F.when(other, k + F.col("event_id") / 1000).alias("elapsed_time"), F.when(other, v + 100).alias("memory_usage_mb"),
+        F.when(other & (kind == "error"), v / 10).alias("cpu_usage_percent"))

@@ -225,6 +225,40 @@ def test_barrier_training_equals_a_plain_loop_and_validates(spark):
         assert h[-1][3] == pytest.approx(want)
 
 
+def test_quantiles_equal_percentile(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    probs = (0.0, 0.01, 0.25, 0.5, 0.75, 0.95, 0.99, 1.0)
+    for limit in (100_000, 30):  # read at once, and narrowed again and again
+        monkeypatch.setattr(profile, "BRACKET", limit)
+        monkeypatch.setattr(profile, "RANK_PARTS", 50 if limit == 30 else 10_000)
+        for values in (rng.normal(size=3001), np.round(rng.exponential(size=2000), 1), np.repeat([1.0, 5.0, 5.0, 9.0], 400), np.array([3.0])):
+            df = spark.createDataFrame([(float(x),) for x in values] + [(None,)] * 5, "x double").repartition(7)
+            want = df.agg(*[F.percentile("x", p) for p in probs]).first()
+            assert np.allclose(profile.exact_quantiles(df, "x", probs), list(want), rtol=1e-12)
+    assert profile.exact_quantiles(df.filter("x is null"), "x", (0.5,)) == [None]
+
+
+def test_ragged_log(spark, tmp_path):
+    import json
+
+    from rankforge.operators import runs
+
+    log = [{"step": 1, "epoch": 0.5, "loss": 2.0, "grad_norm": 1.0}, {"step": 1, "epoch": 1.0, "eval_loss": 1.5, "eval_runtime": 3},
+           {"step": 2, "epoch": 1.5, "loss": None}, {"initial": True, "elapsed_time": 0.0, "memory_usage_mb": 10}, {"train_runtime": 9.0},
+           {"step": 10, "epoch": 1, "elapsed_time": 4.0, "memory_usage_mb": 30, "cpu_usage_percent": 50.0},
+           {"step": 20, "epoch": 2, "elapsed_time": 9.0, "memory_usage_mb": 20}]
+    for name, text in (("array", json.dumps(log, indent=1)), ("lines", "\n".join(map(json.dumps, log)))):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "log.json").write_text(text)
+        entries = runs.read_entries(spark, str(tmp_path / name))
+        assert sorted((r.kind, r.step, r.epoch, r.loss, r.grad_norm, r.eval_loss, r.eval_runtime) for r in runs.log_series(entries).collect() if r.loss or r.eval_loss) == \
+            [("eval", 1, 1.0, None, None, 1.5, 3.0), ("train", 1, 0.5, 2.0, 1.0, None, None)]
+        assert [(r.step, r.loss) for r in runs.log_series(entries).filter("epoch = 1.5").collect()] == [(2, None)]  # the key is there, its value is null
+        per = runs.resources_per_epoch(runs.resource_series(entries)).orderBy(F.asc_nulls_first("epoch")).collect()
+        assert [(r.epoch, r.n_entries, r.last_elapsed, r.seconds, r.max_memory_mb, r.peak_memory_mb, r.avg_cpu) for r in per] == \
+            [(None, 1, 0.0, 0.0, 10.0, 10.0, None), (1.0, 1, 4.0, 4.0, 30.0, 30.0, 50.0), (2.0, 1, 9.0, 5.0, 20.0, 30.0, None)]
+
+
 def test_all_vectors_are_embedded(spark):
     from rankforge.plans import q_towers
 
