@@ -62,10 +62,11 @@ def build_pairs(flat: DataFrame, collection: DataFrame, qrels: DataFrame, min_sc
     return attach_relevance(p, qrels, min_score)
 
 
-def dev_judgements(queries: DataFrame, qrels: DataFrame) -> DataFrame:
+def dev_judgements(queries: DataFrame, qrels: DataFrame, order: str | None = None) -> DataFrame:
     """(qid, query_text, docid, relevance_score) for qids present on both sides. A repeated qid counts
-    once, with its largest text."""
-    q = queries.groupBy("qid").agg(F.max("text").alias("query_text"))
+    once, with its last text: by the column ``order``, or as the rows come from their source."""
+    q = queries.select("qid", F.struct("text").alias("_t"), (F.col(order) if order else F.monotonically_increasing_id()).alias("_o"))
+    q = q.groupBy("qid").agg(F.max_by("_t", "_o").alias("_t")).select("qid", F.col("_t.text").alias("query_text"))
     return qrels.join(q, "qid").select("qid", "query_text", "docid", "relevance_score")
 
 
@@ -74,3 +75,9 @@ def single_query_products(df: DataFrame, product: str = "docid", query: str = "q
     no window over a possibly huge product)."""
     one = df.groupBy(product).agg(F.count("*").alias("_n")).filter(F.col("_n") == 1).select(product)
     return df.join(one, product, "left_semi")
+
+
+def candidate_ids(pairs: DataFrame, collection: DataFrame | None = None, product: str = "docid", key: str = "id") -> DataFrame:
+    """``(id)`` of the retrieval candidates: the products of the pairs, or with ``collection`` all of its rows. NULL ids are no candidates."""
+    own = pairs.select(F.col(product).alias("id")) if collection is None else collection.select(F.col(key).alias("id"))
+    return own.filter("id is not null").distinct()

@@ -19,9 +19,10 @@ def pair_scores(pairs: DataFrame, queries: DataFrame, products: DataFrame, fn=V.
 
 
 def semantic_similarity(pairs: DataFrame, queries: DataFrame, products: DataFrame) -> DataFrame:
-    """Per product: mean cosine with its (relevant) queries, and their count."""
+    """Per product: mean cosine with its (relevant) queries, their count, and the list of cosines in the order of the query ids."""
     s = pair_scores(pairs, queries, products)
-    return s.groupBy("docid").agg(F.avg("score").alias("mean_cosine"), F.count("*").alias("n_queries"))
+    return s.groupBy("docid").agg(F.avg("score").alias("mean_cosine"), F.count("*").alias("n_queries"),
+                                  F.transform(F.array_sort(F.collect_list(F.struct("qid", "score"))), lambda x: x["score"]).alias("cosines"))
 
 
 def vector_sum(df: DataFrame, group: str, vec: str) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from ..functions.text import ngrams, ordered_distinct_nonempty, rouge_tokens, tfidf_tokens
+from ..operators.pairs import candidate_ids
 from ..operators import clean, overlap, ranking, sampling, synth, vectors
 from ..sources import fixtures as fx
 from ..sources.tables import table
@@ -167,13 +168,12 @@ def q_clean_generated(spark, sf):
 
 
 @register("queries_by_product", O.with_views(
-    """select md5(product_text) as text_key, min(id) as id, cast(arg_min(len(list_distinct(list_filter(queries, lambda x: x <> ''))), id) as integer) as n_queries
- from fx_generated group by product_text""", "fx_generated"))
+    """select md5(product_text) as text_key, max(id) as id, cast(len(arg_max(qs, id)) as integer) as n_queries, array_to_string(arg_max(qs, id), chr(10)) as queries
+ from (select id, product_text, list_filter(queries, lambda x, i: x <> '' and list_position(queries, x) = i) as qs from fx_generated) t group by product_text""", "fx_generated"))
 def q_queries_by_product(spark, sf):
-    """One query list per distinct product text (texts deduplicated before generation)."""
-    g = fx.generated(spark, sf)
-    return g.groupBy(F.md5("product_text").alias("text_key")).agg(
-        F.min("id").alias("id"), F.min_by(F.size(ordered_distinct_nonempty("queries")), F.col("id")).alias("n_queries"))
+    """One query list per distinct product text; of rows with the same text the last replaces the earlier ones."""
+    g = synth.queries_by_text(fx.generated(spark, sf).withColumn("queries", ordered_distinct_nonempty("queries")))
+    return g.select("text_key", "id", F.size("queries").alias("n_queries"), F.array_join("queries", "\n").alias("queries"))
 
 
 _GEN_CTES = O.clean_collection_ctes() + [
@@ -203,33 +203,53 @@ _SP_CTES = G_CTES + [
 ]
 
 
-def _synthetic(spark, sf):
+def _text_key(col):
+    """Key by which texts are matched: no text is shuffled."""
+    return F.sha2(col, 256)
+
+
+def _synthetic(spark, sf, negatives: bool = True):
+    """``(query, text_key, label)``: every generated query with its product, and with ``negatives`` with one drawn product."""
     g = fx.generated(spark, sf)
     draws = g.select("id", F.explode(ordered_distinct_nonempty("queries")).alias("query"))
-    texts = g.select("id", "product_text")
-    pos = draws.join(texts, "id").select("query", "product_text", F.lit(1).alias("label"))
+    texts = g.select("id", _text_key("product_text").alias("text_key"))
+    pos = draws.join(texts, "id").select("query", "text_key", F.lit(1).alias("label"))
+    if not negatives:
+        return pos
     d = draws.withColumn("_s", F.concat(F.col("id").cast("string"), F.lit(":"), F.col("query")))
     neg = sampling.negative_ids(g.select("id"), "id", d, "id", "_s") \
-        .join(texts.withColumnRenamed("id", "neg_id"), "neg_id").select("query", "product_text", F.lit(0).alias("label"))
+        .join(texts.withColumnRenamed("id", "neg_id"), "neg_id").select("query", "text_key", F.lit(0).alias("label"))
     return pos.unionByName(neg)
 
 
+def _ids_by_text(spark, sf, rows):
+    """``rows`` with the ids of all documents that have their text (as many rows as there are such documents)."""
+    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), _text_key("text").alias("text_key"))
+    return rows.join(docs, "text_key").drop("text_key")
+
+
+@register("synthetic_pairs_only", O.with_views(
+    "select s.query, d.doc_id as id, s.label as relevance_label from sp s join documents d on d.text = s.product_text where s.label = 1",
+    "fx_generated", extra=_SP_CTES))
+def q_synthetic_pairs_only(spark, sf):
+    """The same without negatives, as the switch for them has it."""
+    return _ids_by_text(spark, sf, _synthetic(spark, sf, negatives=False)).select("query", "id", F.col("label").alias("relevance_label"))
+
+
 @register("synthetic_pairs", O.with_views(
     "select s.query, d.doc_id as id, s.label as relevance_label from sp s join documents d on d.text = s.product_text",
     "fx_generated", extra=_SP_CTES))
 def q_synthetic_pairs(spark, sf):
     """Generated queries as (query, product, label) with one drawn negative each, ids attached
     by text (a natural join that fans out on duplicate texts)."""
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("product_text"))
-    return _synthetic(spark, sf).join(docs, "product_text").select("query", "id", F.col("label").alias("relevance_label"))
+    return _ids_by_text(spark, sf, _synthetic(spark, sf)).select("query", "id", F.col("label").alias("relevance_label"))
 
 
 @register("attach_ids_by_text", O.with_views(
     "select f.id as gen_id, d.doc_id as id from fx_generated f join documents d on d.text = f.product_text", "fx_generated"))
 def q_attach_ids_by_text(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("product_text"))
-    return fx.generated(spark, sf).select(F.col("id").alias("gen_id"), "product_text").join(docs, "product_text") \
-        .select("gen_id", "id")
+    rows = fx.generated(spark, sf).select(F.col("id").alias("gen_id"), _text_key("product_text").alias("text_key"))
+    return _ids_by_text(spark, sf, rows).select("gen_id", "id")
 
 
 # ---------------------------------------------------------------- encoders
@@ -308,7 +328,13 @@ def q_training_set(spark, sf):
 
 @register("candidate_set", O.with_views("select distinct docid as id from m7", "fx_vec_queries", "fx_vec_products", "fx_vec_qrels", extra=_M7_CTES))
 def q_candidate_set(spark, sf):
-    return _kept_pairs(spark, sf).select(F.col("docid").alias("id")).distinct()
+    return candidate_ids(_kept_pairs(spark, sf))
+
+
+@register("candidate_set_all", O.with_views("select distinct id from fx_collection where id is not null", "fx_collection"))
+def q_candidate_set_all(spark, sf):
+    """The whole collection as candidates."""
+    return candidate_ids(_kept_pairs(spark, sf), fx.collection(spark, sf))
 
 
 @register("pair_counts", O.with_views(

@@ -47,11 +47,14 @@ def q_cosine_one_to_many(spark, sf):
 
 
 @register("semantic_similarity", O.with_views(
-    f"""select r.docid, round(avg({COS('q.query_embedding', 'p.product_embedding')}), 6) as mean_cosine, count(*) as n_queries
+    f"""select r.docid, round(avg({COS('q.query_embedding', 'p.product_embedding')}), 6) as mean_cosine, count(*) as n_queries,
+ string_agg(cast(cast(round({COS('q.query_embedding', 'p.product_embedding')} * 10000) as bigint) as varchar), ',' order by r.qid) as cosines_e4
  {PAIRS_SQL} where r.relevance_score >= 1 group by r.docid""", *VV))
 def q_semantic_similarity(spark, sf):
     q, p, r = _v(spark, sf)
-    return rounded(vectors.semantic_similarity(r.filter("relevance_score >= 1").select("qid", "docid"), q, p))
+    """Mean cosine per product with its queries, and the list of cosines (in ten-thousandths)."""
+    out = vectors.semantic_similarity(r.filter("relevance_score >= 1").select("qid", "docid"), q, p)
+    return rounded(out.withColumn("cosines_e4", F.array_join(F.transform("cosines", lambda x: F.round(x * 10000).cast("long").cast("string")), ",")).drop("cosines"))
 
 
 @register("pairwise_diversity", O.with_views(

@@ -238,6 +238,19 @@ def test_quantiles_equal_percentile(spark, monkeypatch):
     assert profile.exact_quantiles(df.filter("x is null"), "x", (0.5,)) == [None]
 
 
+def test_last_text_wins(spark):
+    from rankforge.operators import pairs, synth
+
+    q = spark.createDataFrame([(1, "zz", 1), (1, "a", 3), (1, "m", 2), (2, None, 2), (2, "b", 1), (3, "c", 1)], "qid long, text string, at int")
+    r = spark.createDataFrame([(1, 10, 1), (2, 11, 0), (9, 12, 1)], "qid long, docid long, relevance_score int")
+    assert sorted(map(tuple, pairs.dev_judgements(q, r, "at").collect())) == [(1, "a", 10, 1), (2, None, 11, 0)]
+    assert sorted(map(tuple, pairs.dev_judgements(q.coalesce(1), r).collect())) == [(1, "m", 10, 1), (2, "b", 11, 0)]
+    g = spark.createDataFrame([(1, "t", ["x"]), (5, "t", ["y", "z"]), (2, "u", []), (3, None, ["n"])], "id long, product_text string, queries array<string>")
+    assert sorted((x.id, x.queries) for x in synth.queries_by_text(g).collect()) == [(2, []), (3, ["n"]), (5, ["y", "z"])]
+    assert sorted(x.id for x in pairs.candidate_ids(r, g.select("id").unionByName(g.select("id"))).collect()) == [1, 2, 3, 5]
+    assert sorted(x.id for x in pairs.candidate_ids(r.unionByName(r)).collect()) == [10, 11, 12]
+
+
 def test_ragged_log(spark, tmp_path):
     import json
 
