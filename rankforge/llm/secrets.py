@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import base64
 import binascii
+import bisect
 import hashlib
 import json
 import re
@@ -27,10 +28,15 @@ _ORDER = {k: i for i, k in enumerate(KINDS)}
 _ASSIGN = re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
-_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}={0,2}")
-_ANYHEX = re.compile(r"[0-9A-Fa-f]{48,}")
-_DOTTED = re.compile(r"ey[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----([^-]+)-----END \1-----")
+#: Base64 runs, also wrapped over lines, and where in one a key may begin: at its start or behind a sign that names and paths use too, with the characters
+#: that a SEQUENCE, an OpenSSH public key or the private container begin with.
+_B64 = re.compile(r"[A-Za-z0-9+/_-]{40,}+(?:\r?\n[A-Za-z0-9+/_-]{4,}+)*+={0,2}")
+_BEGIN = re.compile(r"(?:(?<=[_/+-])|^)(?:M[A-P]|AAAA|b3BlbnNzaC1rZXkt)")
+_ANYHEX = re.compile(r"(?<![0-9A-Fa-f])30[0-9A-Fa-f]{46,}+")
+#: Three parts with dots between; a run is tried once, from its start.
+_DOTTED = re.compile(r"(?<![A-Za-z0-9_-])([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]*+)")
+_HEADER = re.compile(r"(?:(?<=[_-])|^)ey")
+_ARMOUR = re.compile(r"-----BEGIN ([A-Z0-9 ]*PRIVATE KEY)-----((?:(?!-----).)*+)-----END \1-----", re.S)
 #: Signature algorithms that a token header may name (fixed values).
 ALGORITHMS = ("HS256", "HS384", "HS512", "RS256", "RS384", "RS512", "ES256", "ES256K", "ES384", "ES512", "PS256", "PS384", "PS512", "EdDSA", "none")
 
@@ -68,7 +74,7 @@ def der_items(b: bytes, start: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_der_key(b: bytes | None) -> bool:
-    """A private or public key: one SEQUENCE that fills the bytes and holds what a key encoding holds."""
+    """A private or public key: one SEQUENCE that fills the bytes and holds what a key encoding holds, down to the key inside a PKCS#8 wrapping."""
     if not b or b[0] != 0x30 or not (top := der_items(b, 0, len(b))) or len(top) != 1:
         return False
     inner = der_items(b, top[0][1], top[0][2])
@@ -76,42 +82,140 @@ def is_der_key(b: bytes | None) -> bool:
         return False
     tags = [t for t, _, _ in inner]
     if tags[:3] == [0x02, 0x30, 0x04] or tags == [0x30, 0x03]:  # PKCS#8, or a public key: an algorithm with an object id
-        alg = inner[1] if tags[0] == 0x02 else inner[0]
+        alg, held = (inner[1], inner[2]) if tags[0] == 0x02 else (inner[0], inner[1])
         parts = der_items(b, alg[1], alg[2])
-        return bool(parts) and parts[0][0] == 0x06
+        if not parts or parts[0][0] != 0x06:
+            return False
+        if tags[0] == 0x30:  # a bit string without spare bits
+            return held[2] - held[1] > 1 and b[held[1]] == 0
+        within = der_items(b, held[1], held[2])
+        return bool(within) and len(within) == 1 and (within[0][0] == 0x04 or within[0][0] == 0x02 or within[0][0] == 0x30 and bool(der_items(b, within[0][1], within[0][2])))
     if len(tags) in (6, 9) and set(tags) == {0x02}:  # PKCS#1 or DSA: a version and integers
         return inner[0][2] - inner[0][1] == 1
     return len(tags) >= 2 and tags[:2] == [0x02, 0x04] and set(tags[2:]) <= {0xA0, 0xA1}  # SEC 1
 
 
+def der_size(head: bytes) -> int | None:
+    """Bytes of the SEQUENCE that begins with ``head``, by its own length; None if it does not begin with one."""
+    if len(head) < 6 or head[0] != 0x30:
+        return None
+    n = head[1]
+    if n < 0x80:
+        return 2 + n
+    k = n & 0x7F
+    return 2 + k + int.from_bytes(head[2:2 + k], "big") if 1 <= k <= 4 else None
+
+
+def ssh_fields(b: bytes, at: int, n: int | None = None) -> tuple[list[bytes], int] | None:
+    """``n`` length-prefixed fields from ``at`` on (or all to the end of the bytes), and where they end; None if one does not fit."""
+    out = []
+    while len(out) != n and (n is not None or at < len(b)):
+        if at + 4 > len(b):
+            return None
+        size = int.from_bytes(b[at:at + 4], "big")
+        if at + 4 + size > len(b):
+            return None
+        out.append(b[at + 4:at + 4 + size])
+        at += 4 + size
+    return out, at
+
+
+_SSH_TYPE = re.compile(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-|sk-(ssh|ecdsa))")
+_SSH_MAGIC = b"openssh-key-v1\0"
+
+
+def _is_ssh_public(b: bytes) -> bool:
+    got = ssh_fields(b, 0)
+    return got is not None and len(got[0]) >= 2 and bool(_SSH_TYPE.match(got[0][0]))
+
+
 def is_ssh_key(b: bytes | None) -> bool:
-    """OpenSSH: the private container's magic, or a public key whose length-prefixed fields end where the bytes end."""
+    """OpenSSH: a public key whose length-prefixed fields end where the bytes end, or the private container: cipher, key derivation and its options, as
+    many public keys as it says, and the private part, which ends it."""
     if not b:
         return False
-    if b.startswith(b"openssh-key-v1\0"):
-        return True
-    at, fields = 0, []
-    while at + 4 <= len(b):
-        n = int.from_bytes(b[at:at + 4], "big")
-        if at + 4 + n > len(b):
-            return False
-        fields.append(b[at + 4:at + 4 + n])
-        at += 4 + n
-    return at == len(b) and len(fields) >= 2 and bool(re.match(rb"(ssh-(rsa|dss|ed25519)|ecdsa-sha2-)", fields[0]))
+    if not b.startswith(_SSH_MAGIC):
+        return _is_ssh_public(b)
+    head = ssh_fields(b, len(_SSH_MAGIC), 3)
+    if head is None or head[1] + 4 > len(b) or not head[0][0]:
+        return False
+    n = int.from_bytes(b[head[1]:head[1] + 4], "big")
+    rest = ssh_fields(b, head[1] + 4)
+    return rest is not None and 1 <= n == len(rest[0]) - 1 and all(map(_is_ssh_public, rest[0][:-1])) and len(rest[0][-1]) % 8 == 0 and len(rest[0][-1]) > 0
+
+
+def _object(part: str) -> dict | None:
+    """The JSON object that a token part holds. The text is decoded piece by piece, so that what is no JSON costs its good beginning only."""
+    size = 64
+    while True:
+        b = decode64(part[:size - size % 4] if size < len(part) else part)
+        if b is None:
+            return None
+        try:
+            x = json.loads(b.decode("utf-8", "strict" if size >= len(part) else "ignore"))
+            return x if isinstance(x, dict) and size >= len(part) else None
+        except json.JSONDecodeError as e:
+            if size >= len(part) or e.pos < len(b) - 8 and not e.msg.startswith("Unterminated string"):
+                return None
+        except (ValueError, RecursionError):
+            return None
+        size *= 4
 
 
 def is_signed_token(token: str) -> bool:
     """Header and payload are JSON objects, the header names an algorithm, the signature is there unless it is ``none``."""
     head, body, sign = token.split(".")
-    try:
-        h, p = json.loads(decode64(head) or b""), json.loads(decode64(body) or b"")
-    except (ValueError, RecursionError):
-        return False
-    if not isinstance(h, dict) or not isinstance(p, dict) or h.get("alg") not in ALGORITHMS:
+    h = _object(head)
+    if h is None or h.get("alg") not in ALGORITHMS or _object(body) is None:
         return False
     return h["alg"] == "none" or len(decode64(sign) or b"") >= 16
 
 
+def _is_armoured(body: str) -> bool:
+    """Base64 of a key; with header lines that declare it encrypted, base64 of whole cipher blocks."""
+    lines = body.strip().splitlines()
+    heads = [x for x in lines if ":" in x]
+    b = decode64("".join(x for x in lines if ":" not in x))
+    if any(x.startswith("Proc-Type:") and "ENCRYPTED" in x for x in heads) and any(x.startswith("DEK-Info:") for x in heads):
+        return bool(b) and len(b) % 8 == 0
+    if is_der_key(b) or is_ssh_key(b):
+        return True
+    top = der_items(b, 0, len(b)) if b else None  # PKCS#8, encrypted: an algorithm and the ciphertext
+    inner = der_items(b, top[0][1], top[0][2]) if top and len(top) == 1 and top[0][0] == 0x30 else None
+    return bool(inner) and [t for t, _, _ in inner] == [0x30, 0x04]
+
+
+def _keys_in_run(run: str) -> list[tuple[int, int, str]]:
+    """Keys ``(start, end, kind)`` in a base64 run: each place where one may begin is tried, a SEQUENCE over its own length."""
+    at = None
+    flat = run.rstrip("=")
+    if "\n" in flat:
+        at = [i for i, c in enumerate(flat) if c not in "\r\n"]
+        flat = re.sub(r"[\r\n]+", "", flat)
+    place = (lambda i: at[i]) if at else (lambda i: i)
+    out, done = [], 0
+    for m in _BEGIN.finditer(flat):
+        i = m.start()
+        if i < done:
+            continue
+        kind = None
+        if m[0][0] == "M":
+            n = der_size(decode64(flat[i:i + 8]) or b"")
+            end = i + -(-n * 8 // 6) if n and n >= 24 else len(flat) + 1
+            if end <= len(flat) and is_der_key(decode64(flat[i:end])):
+                kind = "der_key"
+        else:
+            end = len(flat)
+            head = decode64(flat[i:i + 32]) or b""
+            if (head.startswith(_SSH_MAGIC) or _SSH_TYPE.match(head[4:])) and is_ssh_key(decode64(flat[i:])):
+                kind = "ssh_key"
+        if kind:
+            done = end
+            # signs that fill the run up belong to the key that ends it
+            out.append((place(i), len(run) if end == len(flat) else place(end - 1) + 1, kind))
+    return out
+
+
 def scan(text: str) -> list[tuple[int, int, str]]:
     """All findings ``(start, end, kind)`` of one text, by start, then kind as listed."""
     found = []
@@ -121,24 +225,25 @@ def scan(text: str) -> list[tuple[int, int, str]]:
         found += [(m.start(), m.end(), "access") for m in _ACCESS.finditer(text) if len(m[0]) >= 16]
     found += [(m.start(), m.end(), "hex") for m in _HEX.finditer(text)]
     if "ey" in text and "." in text:
-        found += [(m.start(), m.end(), "jwt") for m in _DOTTED.finditer(text) if is_signed_token(m[0])]
-    taken = []
+        for m in _DOTTED.finditer(text):
+            for h in _HEADER.finditer(m[1]):
+                if is_signed_token(f"{m[1][h.start():]}.{m[2]}.{m[3]}"):
+                    found.append((m.start() + h.start(), m.end(), "jwt"))
+                    break
+    taken = [(0, 0)]
     if "-----BEGIN " in text:
         for m in _ARMOUR.finditer(text):
-            b = decode64(m[2])
-            if is_der_key(b) or is_ssh_key(b):
+            if _is_armoured(m[2]):
                 found.append((m.start(), m.end(), "armour"))
                 taken.append(m.span())
+    free = lambda i: taken[bisect.bisect(taken, (i, len(text) + 1)) - 1][1] <= i
     for m in _B64.finditer(text):
-        if any(a <= m.start() < z for a, z in taken):
-            continue
-        b = decode64(m[0])
-        kind = "der_key" if is_der_key(b) else "ssh_key" if is_ssh_key(b) else None
-        if kind is None and _ANYHEX.fullmatch(m[0]) and len(m[0]) % 2 == 0:
-            b = bytes.fromhex(m[0])
-            kind = "der_key" if is_der_key(b) else "ssh_key" if is_ssh_key(b) else None
-        if kind:
-            found.append((m.start(), m.end(), kind))
+        if free(m.start()):
+            found += [(m.start() + a, m.start() + z, kind) for a, z, kind in _keys_in_run(m[0])]
+    for m in _ANYHEX.finditer(text):
+        n = der_size(bytes.fromhex(m[0][:12])) or 0
+        if 24 <= n <= len(m[0]) // 2 and free(m.start()) and is_der_key(bytes.fromhex(m[0][:2 * n])):
+            found.append((m.start(), m.start() + 2 * n, "der_key"))
     return sorted(found, key=lambda x: (x[0], _ORDER[x[2]], x[1]))
 
 
