@@ -53,7 +53,8 @@ def test_oracles(spark):
     from rankforge.llm.queries import ORACLE, QUERIES
 
     con = duckdb.connect()
-    con.execute(f"create view documents as select * from read_parquet('{SF}/documents.parquet')")
+    for t in ("documents", "embeddings"):
+        con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     for name, sql in ORACLE.items():
         got = QUERIES[name](spark, SF)
         want = con.execute(sql)
