@@ -3,7 +3,7 @@
 Each builder is lazy and reads whole driver tables. Deviations from a naive SQL rendering are
 made for scale only and return the same rows:
 
-* qrels use an Aho-Corasick containment scan plus an equi join instead of a nested-loop join
+* qrels use a window index for containment plus an equi join instead of a nested-loop join
   with ``contains(..) OR ..``;
 * text pairs join each turn to turn + 1 of the same conversation (turns are consecutive) instead
   of a ``lead`` window, so one huge conversation cannot pin a whole window to one task;
@@ -69,7 +69,7 @@ def qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Documents containing the passage get 2 + quality, pool members (doc_id % 50 = item_id % 50)
     get 1 if quality = 1 else 0. Judgements are an input table (a file in the reference); the
-    derivation runs a Python containment scan, so it is persisted once per session and source
+    derivation reads all documents, so it is persisted once per session and source
     and shared by every plan that reads it (blocks lost with an executor are recomputed)."""
     key = (spark.sparkContext.applicationId, sf_dir.rstrip("/"))
     df = _PERSISTED.get(key)
