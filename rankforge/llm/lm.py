@@ -2,10 +2,13 @@
 
 * Token counts cover all training documents. The most frequent words are the model's vocabulary, every other word is one
   class whose members share its probability by their smoothed counts, so the score is a probability over all texts.
-* The output softmax is factored: the class of the next word, then the word within the class.
-* Training is data-parallel: every task starts from the same weights, runs truncated backpropagation over its
-  documents and returns its weights; these are averaged by tokens, in a fixed number of groups. Every training document is
-  used exactly once, in one of ``rounds`` rounds.
+  The vocabulary and the hidden units grow with the training tokens (``vocabulary_size``, ``width``).
+* The output softmax is factored: the class of the next word, then the word within the class. Classes are runs of the
+  words by falling count, short for frequent words and longer for rare ones.
+* Training is data-parallel: documents are dealt by a hash to teams of some ``TEAM_TOKENS`` tokens. Every team of a round starts
+  from the same weights, runs truncated backpropagation over its documents and returns its weights; these are averaged by
+  tokens. Every training document is used exactly once, in one of ``rounds`` rounds. Teams depend on the rows alone, so the
+  weights do not depend on partitions or the cluster's size, and a task that is run again returns the same.
 * Documents run in lanes, one after the other. The state is carried from window to window and reset only where a
   document begins, so a score is the log-likelihood of the complete document and does not depend on its neighbours.
 
@@ -13,6 +16,8 @@ Words beyond the table that is sent to the tasks (``TABLE`` words, a bound) get
 
 from __future__ import annotations
 
+import functools
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -25,14 +30,35 @@ from pyspark.sql import functions as F
 
 from .common import id_remainder, materialize, release_shuffles
 
-#: Words whose counts are sent to the tasks; the vocabulary of the model; words of a class.
-TABLE, VOCABULARY, CLASS = 400_000, 1024, 32
-HIDDEN, WINDOW, TRAIN_LANES, SCORE_LANES = 12, 32, 192, 512
+#: Words whose counts are sent to the tasks (more words get theirs by a join).
+TABLE = 400_000
+WINDOW, TRAIN_LANES, SCORE_LANES = 32, 128, 512
+#: Training tokens of a team, and tokens of an optimiser step at least.
+TEAM_TOKENS, STEP_TOKENS = 1_000_000, 2048
 #: Tokens that a task holds before it runs them, and distinct words it counts before it sends them.
 HELD_TOKENS, HELD_WORDS = 1_500_000, 400_000
 END = b""
 
 
+def vocabulary_size(n: int) -> int:
+    """Words of the model for ``n`` training tokens."""
+    return max(256, math.ceil(4 * n ** 0.4))
+
+
+def width(n: int) -> int:
+    """Hidden units for ``n`` training tokens."""
+    return max(8, round(2 * n ** 0.125))
+
+
+@functools.lru_cache(maxsize=8)
+def class_cuts(own: int) -> np.ndarray:
+    """First words of the classes, and ``own``: a class that begins at word n holds some 4 * sqrt(n) words."""
+    cuts = [0]
+    while cuts[-1] < own:
+        cuts.append(min(own, cuts[-1] + max(16, math.ceil(4 * math.sqrt(cuts[-1])))))
+    return np.array(cuts)
+
+
 def tokens(text: str | None) -> list[bytes]:
     """Words with A-Z lower-cased; the end is not included."""
     return text.encode().lower().split() if text else []
@@ -73,18 +99,23 @@ class Vocabulary:
         return self.n - int(self.counts[:own].sum()), self.v - own
 
 
-def vocabulary(counts: DataFrame, table: int = TABLE, size: int = VOCABULARY) -> Vocabulary:
+def vocabulary(counts: DataFrame, table: int = TABLE, size: int | None = None) -> Vocabulary:
     t = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).head()
-    top = counts.orderBy(F.desc("c"), "word").limit(table).toArrow()
+    size = vocabulary_size(t["n"]) if size is None else size
+    top = counts.orderBy(F.desc("c"), "word").limit(max(table, size)).toArrow()
     return Vocabulary([bytes(w) for w in top.column("word").to_pylist()], top.column("c").to_numpy().astype(np.int64), t["n"], t["v"], size)
 
 
+def id_type(vocab: Vocabulary) -> str:
+    return "<u2" if min(vocab.size, len(vocab.words)) < 1 << 16 else "<u4"
+
+
 def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
-    """Per document: ids of the model (2 bytes a token, end included) and the sums that need counts; ``tail`` holds
+    """Per document: ids of the model (2 or 4 bytes a token, see ``id_type``, end included) and the sums that need counts; ``tail`` holds
     the words that are not in the table, with their number."""
     n, v = vocab.n, vocab.v
     rest_n, rest_v = vocab.rest
-    table = vocab
+    table, ids_as = vocab, id_type(vocab)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = dict(zip(table.words, range(len(table.words)), strict=True))
@@ -101,7 +132,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
                 at = np.array([get(w, -1) for w in words], np.int64)
                 known = at >= 0
                 tail = Counter(words[i] for i in np.flatnonzero(~known)) if not known.all() else {}
-                ids = np.where(known & (at < own), at, own).astype("<u2")
+                ids = np.where(known & (at < own), at, own).astype(ids_as)
                 k = at[known]
                 for c, y in zip(cols, (ids.tobytes(), len(words), int(known.sum()), float(base[k].sum()), float(inner[k].sum()),
                                        list(tail.keys()), list(tail.values())), strict=True):
@@ -138,14 +169,16 @@ class Weights:
         return Weights(*out)
 
 
-def initial(vocab: Vocabulary, hidden: int = HIDDEN, seed: int = 5) -> Weights:
+def initial(vocab: Vocabulary, hidden: int | None = None, seed: int = 5) -> Weights:
     """Small random weights; the output biases are the log counts, so that training starts at the unigram model."""
     own = min(vocab.size, len(vocab.words))
+    hidden = width(vocab.n) if hidden is None else hidden
     rng = np.random.default_rng(seed)
     small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
     c = vocab.counts[:own].astype(float)
-    classes = -(-own // CLASS)
-    mass = [c[k * CLASS:(k + 1) * CLASS].sum() + 1 for k in range(classes)] + [vocab.rest[0] + vocab.rest[1] + 1]
+    cuts = class_cuts(own)
+    classes = len(cuts) - 1
+    mass = [c[a:b].sum() + 1 for a, b in itertools.pairwise(cuts)] + [vocab.rest[0] + vocab.rest[1] + 1]
     x = small(own + 1, 3 * hidden)
     x[:, :hidden] += 1.0  # keep the state at first
     return Weights(x, small(hidden, 3 * hidden), small(hidden, classes + 1) * 0.1, np.log(np.array(mass, np.float32)),
@@ -178,8 +211,8 @@ def output(w: Weights, h: np.ndarray, y: np.ndarray, grad: Weights | None = None
     """Log probabilities of the targets ``y`` given states ``h``; with ``grad`` also the gradient of minus their
     sum, added there, and the one of the states, returned."""
     own = len(w.wo)
-    cls = np.minimum(y // CLASS, w.wc.shape[1] - 1)
-    cls[y == own] = w.wc.shape[1] - 1
+    cuts = class_cuts(own)
+    cls = np.searchsorted(cuts, y, "right") - 1  # what is no word of the model is past the last class
     s = h @ w.wc + w.bc
     s -= s.max(1, keepdims=True)
     e = np.exp(s)
@@ -199,7 +232,7 @@ def output(w: Weights, h: np.ndarray, y: np.ndarray, grad: Weights | None = None
         at = order[cut[c]:cut[c + 1]]
         if not len(at):
             continue
-        lo, hi = c * CLASS, min((c + 1) * CLASS, own)
+        lo, hi = cuts[c], cuts[c + 1]
         own_h, pick = h[at], y[at] - lo
         s = own_h @ w.wo[lo:hi].T + w.bo[lo:hi]
         s -= s.max(1, keepdims=True)
@@ -255,26 +288,28 @@ def lanes(texts: list[np.ndarray], most: int) -> list[list[int]]:
 
 def windows(texts: list[np.ndarray], most: int, end: int):
     """``(targets, previous, reset, document)`` as steps x lanes; the lanes of a window are the first of those
-    before, lanes that have ended are left out. A target of -1 fills up a lane's last window."""
+    before, lanes that have ended are left out. A target of -1 fills up a lane's last window. Lanes are laid one after the
+    other and windows cut from them as they are asked for, so one very long text costs its own length only."""
     own = lanes(texts, most)
-    length = np.array([sum(len(texts[i]) for i in x) for x in own])
-    steps = -(-int(length.max(initial=0)) // WINDOW) * WINDOW
-    y = np.full((len(own), steps), -1, np.int32)
-    doc, start = np.zeros((len(own), steps), np.int32), np.zeros((len(own), steps), bool)
-    for lane, x in enumerate(own):
-        at = 0
-        for i in x:
-            y[lane, at:at + len(texts[i])] = texts[i]
-            doc[lane, at:at + len(texts[i])] = i
-            start[lane, at] = True
-            at += len(texts[i])
-    before = np.full_like(y, end)
-    before[:, 1:] = np.where(y[:, :-1] < 0, end, y[:, :-1])
+    order = [i for x in own for i in x]
+    sizes = np.array([len(texts[i]) for i in order], np.int64)
+    length = np.array([sum(len(texts[i]) for i in x) for x in own], np.int64)
+    if not length.sum():
+        return
+    first = np.cumsum(length) - length
+    y = np.concatenate([texts[i] for i in order]).astype(np.int32)
+    doc = np.repeat(np.array(order, np.int32), sizes)
+    start = np.zeros(len(y), bool)
+    start[(np.cumsum(sizes) - sizes)[sizes > 0]] = True
+    before = np.concatenate([[end], y[:-1]]).astype(np.int32)
     before[start] = end
-    for t in range(0, steps, WINDOW):
+    step = np.arange(WINDOW)[:, None]
+    for t in range(0, int(length.max()), WINDOW):
         n = int((length > t).sum())
-        s = slice(t, t + WINDOW)
-        yield tuple(np.ascontiguousarray(a[:n, s].T) for a in (y, before, start, doc))
+        at = first[:n] + t + step
+        real = at < (first + length)[:n]
+        at = np.where(real, at, 0)
+        yield np.where(real, y[at], -1), np.where(real, before[at], end), start[at] & real, doc[at]
 
 
 def score_documents(w: Weights, texts: list[np.ndarray], end: int, most: int = SCORE_LANES) -> np.ndarray:
@@ -289,28 +324,36 @@ def score_documents(w: Weights, texts: list[np.ndarray], end: int, most: int = S
     return out
 
 
-def train_documents(w: Weights, texts: list[np.ndarray], end: int, moment: list | None, rate: float, most: int = TRAIN_LANES):
-    """One pass of truncated backpropagation with Adam steps; returns the weights and the optimiser's state."""
+def train_documents(w: Weights, texts: list[np.ndarray], end: int, moment: list | None, rate: float, most: int = TRAIN_LANES,
+                    step: int = STEP_TOKENS):
+    """One pass of truncated backpropagation with Adam; returns the weights and the optimiser's state. Gradients of windows
+    add up to ``step`` tokens, so that the few lanes of long texts make no steps of their own; the rest at the end makes a
+    step by its share."""
     moment = moment or [0, np.zeros_like(w.flat()), np.zeros_like(w.flat())]
-    flat = w.flat()
     h = np.zeros((min(most, max(len(texts), 1)), w.u.shape[0]), np.float32)
+    zero = lambda: Weights(*(np.zeros_like(a) for a in w.arrays()))
+    grad, n = zero(), 0
+
+    def update(share: float) -> Weights:
+        g = grad.flat() / n
+        g *= min(1.0, 1.0 / (float(np.sqrt((g * g).sum())) + 1e-12))
+        moment[0] += 1
+        moment[1] += 0.1 * (g - moment[1])
+        moment[2] += 0.01 * (g * g - moment[2])
+        return w.like(w.flat() - share * rate * (moment[1] / (1 - 0.9 ** moment[0])) / (np.sqrt(moment[2] / (1 - 0.99 ** moment[0])) + 1e-6))
+
     for y, before, reset, _ in windows(texts, most, end):
-        w = w.like(flat)
         states, h, kept = forward(w, h[:y.shape[1]], before, reset, True)
         real = y.ravel() >= 0
-        grad = Weights(*(np.zeros_like(a) for a in w.arrays()))
         _, dh = output(w, states.reshape(-1, h.shape[1])[real], y.ravel()[real], grad)
         dstates = np.zeros((y.size, h.shape[1]), np.float32)
         dstates[real] = dh
         backward(w, dstates.reshape(states.shape), before, reset, kept, grad)
-        g = grad.flat() / max(int(real.sum()), 1)
-        norm = float(np.sqrt((g * g).sum()))
-        g *= min(1.0, 1.0 / (norm + 1e-12))
-        moment[0] += 1
-        moment[1] += 0.1 * (g - moment[1])
-        moment[2] += 0.01 * (g * g - moment[2])
-        flat = flat - rate * (moment[1] / (1 - 0.9 ** moment[0])) / (np.sqrt(moment[2] / (1 - 0.99 ** moment[0])) + 1e-6)
-    return w.like(flat), moment
+        n += int(real.sum())
+        if n >= step:
+            w = update(1.0)
+            grad, n = zero(), 0
+    return (update(n / step) if n else w), moment
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], column: int):
@@ -318,7 +361,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int):
     held, n = [], 0
     for b in batches:
         held.append(b)
-        n += sum(len(x) for x in b.column(column).to_pylist()) // 2
+        n += b.column(column).nbytes // 2
         if n >= HELD_TOKENS:
             yield pa.Table.from_batches(held)
             held, n = [], 0
@@ -327,86 +370,90 @@ def _chunks(batches: Iterator[pa.RecordBatch], column: int):
 
 
 PART = 4096
+_PARTS = "part int, team bigint, w binary"
 
 
-#: Groups that the weights of a round's tasks are summed in first.
-TEAMS = 64
+def weight_rows(own: Weights, n: int, team: int) -> pa.Table:
+    """A team's weights times its tokens, in parts of ``PART`` doubles. The last position is the tokens themselves, so that a
+    weight and its divisor are sums over the same rows."""
+    flat = np.append(own.flat().astype(np.float64) * n, n)
+    parts = [flat[i:i + PART].tobytes() for i in range(0, len(flat), PART)]
+    return pa.table({"part": pa.array(range(len(parts)), pa.int32()), "team": pa.array([team] * len(parts), pa.int64()), "w": pa.array(parts, pa.binary())})
 
 
-def weight_rows(own: Weights, n: int) -> pa.RecordBatch:
-    """A task's weights times its tokens, in parts. The last position is the tokens themselves, so that a weight and its divisor are
-    sums over the same rows. The team depends on the partition alone: a task that is run again sends its rows to the same place."""
-    from pyspark import TaskContext
+def _summed(rows: DataFrame, teams: int) -> DataFrame:
+    """Element-wise sums of ``w`` per part and ``team % teams``, added in the order of the teams."""
+    def add(t: pa.Table) -> pa.Table:
+        order = np.argsort(t.column("team").to_numpy(), kind="stable")
+        w = t.column("w").to_pylist()
+        total = np.frombuffer(w[order[0]]).copy()
+        for i in order[1:]:
+            total += np.frombuffer(w[i])
+        return pa.table({"part": t.column("part")[:1], "team": pa.array([t.column("team")[0].as_py() % teams], pa.int64()), "w": pa.array([total.tobytes()], pa.binary())})
 
-    task = TaskContext.get()
-    flat = np.append(own.flat().astype(np.float64) * n, n)
-    parts = [flat[i:i + PART] for i in range(0, len(flat), PART)]
-    team = (task.partitionId() if task else 0) % TEAMS
-    return pa.RecordBatch.from_arrays([pa.array(range(len(parts)), pa.int32()), pa.array([team] * len(parts), pa.int32()),
-                                       pa.array(parts, pa.list_(pa.float64()))], ["part", "team", "w"])
+    return rows.groupBy("part", (F.col("team") % teams).alias("_sum")).applyInArrow(add, _PARTS)
 
 
-def train(ids: DataFrame, start: Weights, end: int, rounds: int, rate: float) -> Weights:
-    """Weights after ``rounds`` rounds over the training rows of ``ids(ids, turn)``."""
+def team_weights(rows: DataFrame, now: Weights, end: int, rate: float, ids_as: str) -> DataFrame:
+    """Trains every team of ``rows(team, doc_id, ids)`` from the weights ``now``; its documents in the order of id and words."""
+    def run(key: tuple, t: pa.Table) -> pa.Table:
+        t = t.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
+        texts = [np.frombuffer(x, ids_as).astype(np.int32) for x in t.column("ids").to_pylist()]
+        own, _ = train_documents(now, texts, end, None, rate)
+        return weight_rows(own, sum(map(len, texts)), key[0].as_py())
+
+    return rows.groupBy("team").applyInArrow(run, _PARTS)
+
+
+def train(rows: DataFrame, start: Weights, end: int, rounds: int, rate: float, teams: int, ids_as: str = "<u2") -> Weights:
+    """Weights after ``rounds`` rounds over the training rows ``(doc_id, ids, turn, team)``, with ``teams`` teams a round."""
     w = start
     for k in range(rounds):
-        now = replace(w)
-
-        def run(batches: Iterator[pa.RecordBatch], now: Weights = now) -> Iterator[pa.RecordBatch]:
-            own, moment, n = now, None, 0
-            for t in _chunks(batches, 0):
-                texts = [np.frombuffer(x, "<u2").astype(np.int32) for x in t.column(0).to_pylist()]
-                own, moment = train_documents(own, texts, end, moment, rate)
-                n += sum(map(len, texts))
-            if n:
-                yield weight_rows(own, n)
-
-        sent = ids.filter(F.col("turn") == k).select("ids").mapInArrow(run, "part int, team int, w array<double>")
-        got = _summed(_summed(sent, ["part", "team"]), ["part"]).orderBy("part").collect()
+        sent = team_weights(rows.filter(F.col("turn") == k).select("team", "doc_id", "ids"), replace(w), end, rate, ids_as)
+        got = _summed(_summed(sent, math.isqrt(teams) + 1), 1).orderBy("part").select("w").toArrow().column(0).to_pylist()
         if got:
-            total = np.concatenate([np.array(r["w"]) for r in got])
+            total = np.frombuffer(b"".join(got))
             w = start.like(total[:-1] / total[-1])
     return w
 
 
-def _summed(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Element-wise sums of ``w``; one position is a row, so no array of arrays is gathered in a task."""
-    total = rows.select(*keys, F.posexplode("w").alias("i", "x")).groupBy(*keys, "i").agg(F.sum("x").alias("x"))
-    return total.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("s")).select(
-        *keys, F.transform("s", lambda s: s["x"]).alias("w"))
-
-
-def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, rounds: int = 3, rate: float = 0.01,
-              size: int = VOCABULARY, table: int = TABLE) -> DataFrame:
+def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mod: int = 7, held: int = 2, rounds: int = 3, rate: float = 0.02,
+              size: int | None = None, table: int = TABLE) -> DataFrame:
     """Per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (both log10).
 
     Learns from documents whose id remainder is not ``held``; a NULL or empty text is its end alone. Without
-    training documents every word has the probability of an unseen one."""
+    training documents every word has the probability of an unseen one. Repeated rows count as often as they occur, NULL ids have the
+    remainder of the empty text; words with equal counts are ordered by their bytes; a long text is scored whole. Only the id and the text are
+    read, so other columns may have any name. The vocabulary and the width follow the training tokens unless ``size`` is given."""
     d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("held_out", id_remainder("doc_id", mod) == held)
     counts = materialize(token_counts(d.filter(~F.col("held_out"))), "counts")
     release_shuffles(docs.sparkSession)
     vocab = vocabulary(counts, table, size)
-    rows = encoded(d, vocab).withColumn("rid", F.monotonically_increasing_id()).withColumn("turn", F.pmod(F.xxhash64("rid"), F.lit(rounds)).cast("int"))
+    teams = max(1, math.ceil(vocab.n / rounds / TEAM_TOKENS))
+    dealt = F.xxhash64(F.lit(0x5EED), "doc_id", "ids")  # repeated ids and repeated texts are dealt too
+    rows = encoded(d, vocab).withColumn("rid", F.monotonically_increasing_id()).withColumn("turn", F.pmod(dealt, F.lit(rounds)).cast("int")) \
+        .withColumn("team", F.pmod(F.xxhash64(dealt), F.lit(teams)))
     rows = materialize(rows, "encoded")
-    own = min(vocab.size, len(vocab.words))
+    own, ids_as = min(vocab.size, len(vocab.words)), id_type(vocab)
     end = vocab.words.index(END) if END in vocab.words[:own] else own
-    weights = train(rows.filter(~F.col("held_out")), initial(vocab), end, rounds, rate)
+    weights = train(rows.filter(~F.col("held_out")), initial(vocab), end, rounds, rate, teams, ids_as)
     n, v = vocab.n, vocab.v
     rest_n, rest_v = vocab.rest
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in _chunks(batches, 1):
-            texts = [np.frombuffer(x, "<u2").astype(np.int32) for x in t.column(1).to_pylist()]
-            s = score_documents(weights, texts, end) / math.log(10)
-            yield pa.RecordBatch.from_arrays([t.column(0).combine_chunks(), pa.array(s)], ["rid", "own"])
+        for t in _chunks(batches, 0):
+            texts = [np.frombuffer(x, ids_as).astype(np.int32) for x in t.column(0).to_pylist()]
+            t = t.drop_columns("ids").append_column("own", pa.array(score_documents(weights, texts, end) / math.log(10)))
+            yield from t.combine_chunks().to_batches()
 
-    model = rows.select("rid", "ids").mapInArrow(score, "rid bigint, own double")
+    model = rows.select("ids", "rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner").mapInArrow(
+        score, "rid bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, base double, inner double, own double")
     tail = rows.select("rid", F.explode(F.arrays_zip("tail", "times")).alias("t")).select("rid", F.col("t.tail").alias("word"), F.col("t.times").alias("k")) \
         .join(counts, "word", "left").withColumn("c", F.coalesce("c", F.lit(0)))
     tail = tail.groupBy("rid").agg(F.sum(F.when(F.col("c") > 0, F.col("k")).otherwise(0)).alias("tail_known"),
                                    F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(n + v + 1)))).alias("tail_base"),
                                    F.sum(F.col("k") * F.log10((F.col("c") + 1) / F.lit(float(rest_n + rest_v + 1)))).alias("tail_inner"))
-    out = rows.select("rid", "doc_id", "held_out", "n_tokens", "known", "base", "inner").join(model, "rid").join(tail, "rid", "left")
+    out = model.join(tail, "rid", "left")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0))
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + zero("tail_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
                       (F.col("base") + zero("tail_base")).alias("base_score"), (F.col("own") + F.col("inner") + zero("tail_inner")).alias("score"))

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import itertools
 import json
 import math
 import random
@@ -11,6 +12,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankforge.llm import (decontaminate, licenses, lm, near_dedup, packing, quality_classifier, quality_rules, repeats, secrets,
                            textstats, toxicity)
@@ -113,18 +115,52 @@ def test_language_model_is_a_probability_and_independent_of_neighbours():
     assert lm.score_documents(trained, docs * 20, 0).sum() > before
 
 
-def test_language_model_rows_of_a_task_are_the_same_again(spark, monkeypatch):
+def test_language_model_does_not_depend_on_partitions(spark):
     prepare(spark)
     vocab = lm.Vocabulary([b"%d" % i for i in range(20)], np.arange(20, 0, -1), 500, 30, 20)
-    docs = [(np.arange(i % 20, dtype="<u2").tobytes(), 0) for i in range(1, 60)]
-    ids = spark.createDataFrame(docs, "ids binary, turn int").repartition(6).localCheckpoint()
-    sent, summed = [], lm._summed
-    monkeypatch.setattr(lm, "_summed", lambda rows, keys: sent.append(rows) or summed(rows, keys))
-    w = lm.train(ids, lm.initial(vocab, 4), 20, 1, 0.01)
-    once, again = (sorted(sent[0].collect()) for _ in range(2))
-    assert once == again and len({r.team for r in once}) > 1
-    total = np.sum([r.w for r in once], axis=0)
-    assert total[-1] == sum(len(x) // 2 for x, _ in docs) and np.allclose(w.flat(), total[:-1] / total[-1], rtol=1e-5, atol=1e-6)
+    docs = [(i, np.arange(i % 20, dtype="<u2").tobytes(), i % 2, i % 5) for i in range(1, 60)] + [(None, b"", 0, 1), (7, b"", 1, 2), (7, b"", 1, 2)]
+    ids = spark.createDataFrame(docs, "doc_id bigint, ids binary, turn int, team bigint")
+    start = lm.initial(vocab, 4)
+    once, again = (lm.train(ids.repartition(n), start, 20, 2, 0.01, 5).flat() for n in (6, 2))
+    assert np.array_equal(once, again) and not np.allclose(once, start.flat())
+    sent = lm.team_weights(ids.filter("turn = 0"), start, 20, 0.01, "<u2")
+    rows = sent.collect()
+    assert len({r.team for r in rows}) == 5 and sorted(rows) == sorted(sent.collect())
+    total = np.sum([np.frombuffer(r.w) for r in rows], axis=0)
+    assert total[-1] == sum(len(x) // 2 for _, x, turn, _ in docs if turn == 0)
+    assert np.allclose(lm.train(ids.filter("turn = 0"), start, 20, 1, 0.01, 5).flat(), total[:-1] / total[-1], rtol=1e-5, atol=1e-6)
+
+
+def test_language_model_grows_with_its_training_tokens():
+    sizes = [(lm.vocabulary_size(n), lm.width(n)) for n in (0, 10**6, 10**8, 10**10, 10**12)]
+    assert all(a < b and c < d for (a, c), (b, d) in itertools.pairwise(sizes))
+    for own in (0, 1, 15, 16, 17, 5000):
+        cuts = lm.class_cuts(own)
+        assert cuts[0] == 0 and cuts[-1] == own and (np.diff(cuts) > 0).all()
+
+
+def test_language_model_windows_cover_every_token_once():
+    r = np.random.default_rng(3)
+    docs = [r.integers(0, 9, n).astype(np.int32) for n in (5, 0, 40_000, 32, 33, 1)]
+    seen = [[] for _ in docs]
+    for y, before, reset, doc in lm.windows(docs, 3, 7):
+        assert y.shape == before.shape == reset.shape == doc.shape and y.shape[1] <= 3
+        for lane in range(y.shape[1]):
+            for t in range(lm.WINDOW):
+                if y[t, lane] >= 0:
+                    at = seen[doc[t, lane]]
+                    assert reset[t, lane] == (not at) and before[t, lane] == (at[-1] if at else 7)
+                    at.append(y[t, lane])
+    assert all(np.array_equal(a, b) for a, b in zip(seen, docs, strict=True))
+    assert list(lm.windows([], 3, 7)) == [] == list(lm.windows([docs[1]], 3, 7))
+
+
+def test_language_model_beats_the_unigram_base(spark):
+    """Held-out documents of a small table: the smallest input has to gain too."""
+    prepare(spark)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").withColumn("ids", F.lit(1)).withColumn("team", F.lit("x"))
+    got = lm.lm_scores(docs).filter("held_out").select("score", "base_score").toPandas()
+    assert len(got) > 100 and got.score.sum() > 0.98 * got.base_score.sum() and (got.score > got.base_score).mean() > 0.9
 
 
 def test_language_model_gradients():
