@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import sys
 import types
 from collections.abc import Callable
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +101,21 @@ def worker_state(key: tuple, make: Callable):
     return kept[key]
 
 
+def one_thread_blas() -> None:
+    """Lets numpy's bundled OpenBLAS use the calling task's core alone: products are small here, and its idle threads spin. Where numpy
+    has another BLAS this does nothing (there set OMP_NUM_THREADS for the executors). Results are the same."""
+    def limit() -> bool:
+        for path in Path(np.__file__).parent.parent.glob("numpy.libs/*openblas*"):
+            lib = ctypes.CDLL(str(path))
+            for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+                if hasattr(lib, name):
+                    getattr(lib, name)(1)
+                    return True
+        return False
+
+    worker_state(("one-thread-blas",), limit)
+
+
 #: Rows of ids up to which a table is broadcast (some 30 MB); a larger one is joined by a shuffle.
 BROADCAST_ROWS = 1_000_000
 

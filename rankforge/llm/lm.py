@@ -28,13 +28,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_remainder, materialize, release_shuffles
+from .common import id_remainder, materialize, one_thread_blas, release_shuffles
 
 #: Words whose counts are sent to the tasks (more words get theirs by a join).
 TABLE = 400_000
-WINDOW, TRAIN_LANES, SCORE_LANES = 32, 128, 512
+WINDOW, SCORE_LANES = 32, 512
 #: Training tokens of a team, and tokens of an optimiser step at least.
-TEAM_TOKENS, STEP_TOKENS = 1_000_000, 2048
+TEAM_TOKENS, STEP_TOKENS = 2_000_000, 2048
+#: Tokens of a training lane, about, between 64 and 256 lanes.
+LANE_TOKENS = 8192
 #: Tokens that a task holds before it runs them, and distinct words it counts before it sends them.
 HELD_TOKENS, HELD_WORDS = 1_500_000, 400_000
 END = b""
@@ -192,11 +194,11 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 def forward(w: Weights, h: np.ndarray, before: np.ndarray, reset: np.ndarray, keep: bool):
     """States of a window. ``before`` (steps x lanes): the previous token; ``reset``: a document begins."""
     k = h.shape[1]
-    states, kept = np.empty((*before.shape, k), np.float32), []
+    states, kept, x, begins = np.empty((*before.shape, k), np.float32), [], w.x[before], reset.any(1)
     for t in range(len(before)):
-        if reset[t].any():
+        if begins[t]:
             h = h * ~reset[t][:, None]
-        a, g = w.x[before[t]], h @ w.u
+        a, g = x[t], h @ w.u
         zr = _sigmoid(a[:, :2 * k] + g[:, :2 * k])
         z, r = zr[:, :k], zr[:, k:]
         n = np.tanh(a[:, 2 * k:] + r * g[:, 2 * k:])
@@ -207,21 +209,25 @@ def forward(w: Weights, h: np.ndarray, before: np.ndarray, reset: np.ndarray, ke
     return states, h, kept
 
 
+def _softmax(s: np.ndarray):
+    """Logits, held within +-60 so that no sum overflows or is 0, their exponentials and the sums of these."""
+    np.clip(s, -60, 60, out=s)
+    e = np.exp(s)
+    return s, e, e @ np.ones(e.shape[1], e.dtype)
+
+
 def output(w: Weights, h: np.ndarray, y: np.ndarray, grad: Weights | None = None):
     """Log probabilities of the targets ``y`` given states ``h``; with ``grad`` also the gradient of minus their
     sum, added there, and the one of the states, returned."""
     own = len(w.wo)
     cuts = class_cuts(own)
     cls = np.searchsorted(cuts, y, "right") - 1  # what is no word of the model is past the last class
-    s = h @ w.wc + w.bc
-    s -= s.max(1, keepdims=True)
-    e = np.exp(s)
-    total = e.sum(1)
+    s, e, total = _softmax(h @ w.wc + w.bc)
     rows = np.arange(len(y))
     logp = s[rows, cls] - np.log(total)
     dh = None
     if grad is not None:
-        d = e / total[:, None]
+        d = np.divide(e, total[:, None], out=e)
         d[rows, cls] -= 1
         grad.wc += h.T @ d
         grad.bc += d.sum(0)
@@ -234,14 +240,11 @@ def output(w: Weights, h: np.ndarray, y: np.ndarray, grad: Weights | None = None
             continue
         lo, hi = cuts[c], cuts[c + 1]
         own_h, pick = h[at], y[at] - lo
-        s = own_h @ w.wo[lo:hi].T + w.bo[lo:hi]
-        s -= s.max(1, keepdims=True)
-        e = np.exp(s)
-        total = e.sum(1)
+        s, e, total = _softmax(own_h @ w.wo[lo:hi].T + w.bo[lo:hi])
         r = np.arange(len(at))
         logp[at] += s[r, pick] - np.log(total)
         if grad is not None:
-            d = e / total[:, None]
+            d = np.divide(e, total[:, None], out=e)
             d[r, pick] -= 1
             grad.wo[lo:hi] += d.T @ own_h
             grad.bo[lo:hi] += d.sum(0)
@@ -324,11 +327,12 @@ def score_documents(w: Weights, texts: list[np.ndarray], end: int, most: int = S
     return out
 
 
-def train_documents(w: Weights, texts: list[np.ndarray], end: int, moment: list | None, rate: float, most: int = TRAIN_LANES,
+def train_documents(w: Weights, texts: list[np.ndarray], end: int, moment: list | None, rate: float, most: int | None = None,
                     step: int = STEP_TOKENS):
     """One pass of truncated backpropagation with Adam; returns the weights and the optimiser's state. Gradients of windows
     add up to ``step`` tokens, so that the few lanes of long texts make no steps of their own; the rest at the end makes a
     step by its share."""
+    most = max(64, min(256, sum(map(len, texts)) // LANE_TOKENS)) if most is None else most
     moment = moment or [0, np.zeros_like(w.flat()), np.zeros_like(w.flat())]
     h = np.zeros((min(most, max(len(texts), 1)), w.u.shape[0]), np.float32)
     zero = lambda: Weights(*(np.zeros_like(a) for a in w.arrays()))
@@ -397,6 +401,7 @@ def _summed(rows: DataFrame, teams: int) -> DataFrame:
 def team_weights(rows: DataFrame, now: Weights, end: int, rate: float, ids_as: str) -> DataFrame:
     """Trains every team of ``rows(team, doc_id, ids)`` from the weights ``now``; its documents in the order of id and words."""
     def run(key: tuple, t: pa.Table) -> pa.Table:
+        one_thread_blas()
         t = t.sort_by([("doc_id", "ascending"), ("ids", "ascending")])
         texts = [np.frombuffer(x, ids_as).astype(np.int32) for x in t.column("ids").to_pylist()]
         own, _ = train_documents(now, texts, end, None, rate)
@@ -441,6 +446,7 @@ def lm_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     rest_n, rest_v = vocab.rest
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread_blas()
         for t in _chunks(batches, 0):
             texts = [np.frombuffer(x, ids_as).astype(np.int32) for x in t.column(0).to_pylist()]
             t = t.drop_columns("ids").append_column("own", pa.array(score_documents(weights, texts, end) / math.log(10)))
