@@ -44,12 +44,12 @@ END = b""
 
 def vocabulary_size(n: int) -> int:
     """Words of the model for ``n`` training tokens."""
-    return max(256, math.ceil(4 * n ** 0.4))
+    return max(256, math.ceil(2 * n ** 0.4))
 
 
 def width(n: int) -> int:
     """Hidden units for ``n`` training tokens."""
-    return max(8, round(2 * n ** 0.125))
+    return 3 + round(1.25 * n ** 0.125)
 
 
 @functools.lru_cache(maxsize=8)
@@ -131,7 +131,7 @@ def encoded(docs: DataFrame, vocab: Vocabulary) -> DataFrame:
             for x in b.column(2).to_pylist():
                 words = tokens(x)
                 words.append(END)
-                at = np.array([get(w, -1) for w in words], np.int64)
+                at = np.fromiter(map(get, words, itertools.repeat(-1)), np.int64, len(words))
                 known = at >= 0
                 tail = Counter(words[i] for i in np.flatnonzero(~known)) if not known.all() else {}
                 ids = np.where(known & (at < own), at, own).astype(ids_as)
