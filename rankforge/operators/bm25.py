@@ -25,6 +25,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import NOUN_DETACHMENT_RULES, token_rows, tokenize, tokenizer_udf
+from ..session import materialize
+from .skew import heavy_terms, split_join
 
 # Parameters of the untuned build and of the class defaults.
 FIXED_PARAMS = {"k1": 1.2, "b": 0.9, "epsilon": 0.1}
@@ -181,7 +183,7 @@ def score_matches(index: BM25Index, qterms: DataFrame, pairs: DataFrame | None =
         qt = pairs.select("qid", "id").join(qt, "qid")
         m = qt.join(index.postings, ["term", "id"])
     else:
-        m = qt.join(index.postings, "term")
+        m = split_join(index.postings, qt, heavy_terms(index.term_stats), ["id"])
     m = m.join(index.doc_stats, "id")
     return m.groupBy("qid", "id").agg(F.sum(_contribution(index, index.k1, index.b, F.col("idf"))).alias("score"))
 
@@ -225,13 +227,73 @@ def top_n(scores: DataFrame, n: int, part: str = "qid", score: str = "score", ke
     return r.filter(F.col("rank") <= n) if n > 0 else r
 
 
-def search(index: BM25Index, queries: DataFrame, n: int = 5) -> DataFrame:
+#: Share of a query's posting rows that are read to find its threshold.
+LEAD_SHARE = 0.1
+#: Posting rows of all query terms from which a search prunes unless told otherwise.
+PRUNE_ROWS = 20_000_000
+#: Scores closer than this to the threshold are kept; above any rounding of sums.
+MARGIN = 1e-6
+
+
+def term_bounds(index: BM25Index, qterms: DataFrame) -> DataFrame:
+    """``(qid, term, qtf, idf, df, bound)``: no posting of the term adds more to the query's score than ``bound`` (or, if the
+    idf is negative, less). A document is at least as long as the term is often in it, so the largest tf bounds all postings."""
+    most = index.postings.join(qterms.select("term").distinct(), "term", "left_semi").groupBy("term").agg(F.max("tf").cast("double").alias("_tf"))
+    tf = F.col("_tf")
+    norm = F.lit(index.k1) * (F.lit(1.0) - F.lit(index.b) + F.lit(index.b) * tf / index.avgdl)
+    return qterms.join(index.term_stats.select("term", "idf", "df"), "term").join(most, "term").select(
+        "qid", "term", "qtf", "idf", "df", (F.col("qtf") * F.col("idf") * tf * F.lit(index.k1 + 1.0) / (tf + norm)).alias("bound"))
+
+
+def _weighted(index: BM25Index, m: DataFrame) -> DataFrame:
+    return m.join(index.doc_stats, "id").groupBy("qid", "id").agg(F.sum(_contribution(index, index.k1, index.b, F.col("idf"))).alias("score"))
+
+
+def essential_terms(index: BM25Index, bounds: DataFrame, n: int) -> DataFrame:
+    """The rows of ``bounds`` with ``theta`` and ``essential``. The rarest terms of a query, with some ``LEAD_SHARE`` of its posting rows, give
+    its n best partial scores; the n-th is a threshold that the n-th whole score reaches. Terms of the smallest bounds whose sum stays below
+    it are not essential: a document with none but these cannot be among the n. Queries without n matches there keep all terms."""
+    from pyspark.sql import Window
+
+    rare = Window.partitionBy("qid").orderBy("df", "term")
+    total = F.sum("df").over(Window.partitionBy("qid"))
+    lead = bounds.withColumn("_at", F.sum("df").over(rare.rowsBetween(Window.unboundedPreceding, Window.currentRow))) \
+        .withColumn("_no", F.row_number().over(rare)).withColumn("_total", total) \
+        .filter((F.col("_no") == 1) | (F.col("_at") <= LEAD_SHARE * F.col("_total"))).select("qid", "term", "qtf", "idf")
+    partial = top_n(_weighted(index, split_join(index.postings, lead, heavy_terms(index.term_stats), ["id"])), n)
+    theta = partial.groupBy("qid").agg(F.count("*").alias("_n"), F.min("score").alias("_low")).filter(F.col("_n") >= n)
+    below = bounds.groupBy("qid").agg(F.sum(F.least("bound", F.lit(0.0))).alias("_neg"))  # what terms of negative idf may take away
+    theta = theta.join(below, "qid").select("qid", (F.col("_low") + F.col("_neg") - MARGIN).alias("theta"))
+    least = Window.partitionBy("qid").orderBy(F.greatest("bound", F.lit(0.0)), "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return bounds.join(theta, "qid", "left").withColumn("_sum", F.sum(F.greatest("bound", F.lit(0.0))).over(least)) \
+        .withColumn("essential", F.coalesce(F.col("_sum") >= F.col("theta"), F.lit(True))).drop("_sum")
+
+
+def best_matches(index: BM25Index, queries: DataFrame, n: int) -> DataFrame:
+    """``(qid, id, score)`` of every document that can be among the n best of its query (all matches of a query that has fewer): postings of essential
+    terms are read whole, those of the others only for documents that can still reach the threshold."""
+    terms = materialize(essential_terms(index, materialize(term_bounds(index, query_terms(index, queries)), "bm25-bounds"), n), "bm25-terms")
+    first = split_join(index.postings, terms.filter("essential").select("qid", "term", "qtf", "idf"), heavy_terms(index.term_stats), ["id"])
+    rest = terms.groupBy("qid").agg(F.max("theta").alias("theta"), F.sum(F.when(~F.col("essential"), F.greatest("bound", F.lit(0.0))).otherwise(0.0)).alias("_more"))
+    open_ = _weighted(index, first).join(rest, "qid").filter(F.col("theta").isNull() | (F.col("score") + F.col("_more") >= F.col("theta")))
+    open_ = materialize(open_.select("qid", "id", "score"), "bm25-open")
+    more = open_.select("qid", "id").join(terms.filter("not essential").select("qid", "term", "qtf", "idf"), "qid").join(index.postings, ["term", "id"])
+    return open_.unionByName(_weighted(index, more)).groupBy("qid", "id").agg(F.sum("score").alias("score"))
+
+
+def search(index: BM25Index, queries: DataFrame, n: int = 5, prune: bool | None = None) -> DataFrame:
     """``get_top_n`` for many queries in one plan: n rows per query if the collection has n documents.
 
     Queries with fewer than n matches are filled up, score 0, with the smallest ids that do not match. Among the n
     smallest ids of the collection there are always enough of them, so only |queries| x n rows are made.
+    With ``prune`` documents that cannot be among the n best are left out by score bounds (``best_matches``): the same rows
+    from fewer postings, but more stages. By default that is done if the queries' terms have over ``PRUNE_ROWS`` posting rows.
     With ``n <= 0`` all matches are returned."""
-    s = score_matches(index, query_terms(index, queries)).withColumn("score", F.round("score", 9))
+    q = query_terms(index, queries)
+    if prune is None and n > 0:
+        prune = (q.join(index.term_stats.select("term", "df"), "term").agg(F.sum("df")).first()[0] or 0) > PRUNE_ROWS
+    s = best_matches(index, queries, n) if prune and n > 0 else score_matches(index, q)
+    s = s.withColumn("score", F.round("score", 9))
     if n <= 0 or index.doc_ids is None:
         return top_n(s, n)
     top = top_n(s, n).drop("rank")

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tfidf_tokens
+from ..session import materialize
+from .skew import heavy_terms, split_join
 
 
 def term_counts(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -27,8 +29,10 @@ def fit(docs: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
 
 
 def transform(docs: DataFrame, keys: list[str], vocab: DataFrame, text: str = "text") -> DataFrame:
-    """``(keys.., term, weight)`` -- L2-normalised tf x idf; terms outside the vocabulary drop."""
-    tf = term_counts(docs, keys, text).join(vocab.select("term", "idf"), "term")
+    """``(keys.., term, weight)`` -- L2-normalised tf x idf; terms outside the vocabulary drop.
+    The rows of a term that is in very many documents are split over tasks."""
+    vocab = materialize(vocab.select("term", "df", "idf"), "vocabulary")  # read three times: the texts are split into terms once for it
+    tf = split_join(term_counts(docs, keys, text), vocab.select("term", "idf"), heavy_terms(vocab), keys)
     w = tf.withColumn("w", F.col("tf") * F.col("idf"))
     norms = w.groupBy(*keys).agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
     return w.join(norms, keys).select(*keys, "term", (F.col("w") / F.col("norm")).alias("weight"))

@@ -206,6 +206,12 @@ def q_bm25_search(spark, sf):
     return rounded(bm25.search(_index(spark, sf), fx.queries(spark, sf), n=5).select("qid", "id", "rank", "score"))
 
 
+@register("bm25_search_pruned", _search_sql(5, 1.2, 0.9, 0.1))
+def q_bm25_search_pruned(spark, sf):
+    """The same search by score bounds: documents that cannot be among the 5 best are not scored."""
+    return rounded(bm25.search(_index(spark, sf), fx.queries(spark, sf), n=5, prune=True).select("qid", "id", "rank", "score"))
+
+
 @register("bm25_top_n", _search_sql(10, 1.5, 0.75, 0.25))
 def q_bm25_top_n(spark, sf):
     """Top-10 per query with the class-default parameters (k1 1.5, b 0.75, epsilon 0.25)."""
