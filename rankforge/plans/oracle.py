@@ -160,9 +160,10 @@ def bm25_index_ctes(coll: str = "cc", k1: float = 1.2, b: float = 0.9, eps: floa
         *posts,
         ("bm_dstat", "select id, len(tokens) as doc_len from bm_tok"),
         ("bm_cstat", "select count(*) as n, avg(doc_len) as avgdl from bm_dstat"),
-        ("bm_traw", "select term, df, ln((bm_cstat.n - df + 0.5) / (df + 0.5)) as idf_raw from (select term, count(*) as df from bm_post group by term) x, bm_cstat"),
+        ("bm_traw", "select term, df, ln(((select n from bm_cstat) - df + 0.5) / (df + 0.5)) as idf_raw from (select term, count(*) as df from bm_post group by term) x"),
         ("bm_mi", "select avg(idf_raw) as mean_idf from bm_traw"),
-        ("bm_tstat", f"select term, df, idf_raw, case when idf_raw < 0 then {eps} * mean_idf else idf_raw end as idf from bm_traw, bm_mi"),
+        # the mean by a window: joined to its own source, it hangs under a LIMIT
+        ("bm_tstat", f"select term, df, idf_raw, case when idf_raw < 0 then {eps} * avg(idf_raw) over () else idf_raw end as idf from bm_traw"),
     ]
 
 
