@@ -129,18 +129,30 @@ def _lower(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+def _let(value: str, name: str, body: str) -> str:
+    """SQL: ``body`` with ``name`` bound to a value that is computed once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
+
+
 def _places(norm: str, pattern: str) -> str:
-    """SQL: ``(start, end)`` of the matches of a pattern, as counts of the words before them. The pieces
-    between the matches give the places; the last blank of a match is left to the next one."""
-    rx = f"substring({pattern}, 1, length({pattern}) - 1) || '(?= )'"
-    return f"""aggregate(zip_with(split({norm}, {rx}), regexp_extract_all({norm}, {rx}, 0), (p, h) -> named_struct('piece', p, 'hit', h)),
-        named_struct('at', 0, 'found', cast(array() as array<struct<s:int,e:int>>)),
-        (a, x) -> named_struct(
-            'at', a.at + length(x.piece) - length(replace(x.piece, ' ', '')) + coalesce(length(x.hit) - length(replace(x.hit, ' ', '')), 0),
-            'found', if(x.hit is null, a.found, concat(a.found, array(named_struct(
-                's', a.at + length(x.piece) - length(replace(x.piece, ' ', '')),
-                'e', a.at + length(x.piece) - length(replace(x.piece, ' ', '')) + length(x.hit) - length(replace(x.hit, ' ', ''))))))),
-        a -> a.found)"""
+    """SQL: ``(s, e)`` of the matches of a pattern, in order, as counts of the words before them. Matches are
+    marked in one pass; the words that carry a mark give the places. The last blank of a match is left to the next one."""
+    marked = f"regexp_replace({norm}, ' (' || substring({pattern}, 2, length({pattern}) - 2) || ')(?= )', concat(' ', chr(1), '$1', chr(2)))"
+    at = lambda test, i: f"filter(transform(_w, (w, i) -> if({test}, {i}, null)), i -> i is not null)"
+    pairs = f"zip_with({at('startswith(w, chr(1))', 'i - 1')}, {at('endswith(w, chr(2))', 'i')}, (s, e) -> named_struct('s', s, 'e', e))"
+    return _let(marked, "_m", f"if(contains(_m, chr(1)), {_let('split(_m, chr(32))', '_w', pairs)}, cast(array() as array<struct<s:int,e:int>>))")
+
+
+def _best(found: str) -> str:
+    """SQL: the detections that no better one contains. Sorted by start, longest, priority and rule, whatever
+    contains a detection and is better stands before it, and no more than ``_k`` places before: ``_k`` is the
+    first power of two for which every detection ``_k`` places back starts too early to reach the end of this one
+    at the greatest length of a detection. Time is linear in the detections of a text but for the sort."""
+    early = "_d[j - k].s < -_d[j].l - _len"
+    reach = f"aggregate(sequence(3, 30), 0, (a, b) -> if(a > 0, a, {_let('shiftleft(1, b)', 'k', f'if(k >= size(_d) or forall(sequence(k, size(_d) - 1), j -> {early}), k, 0)')}))"
+    better = "y.l <= x.l and (y.q < x.q or (y.q = x.q and (-y.l - y.s > -x.l - x.s or (-y.l - y.s = -x.l - x.s and y.i < x.i))))"
+    kept = f"filter(_d, (x, j) -> not exists(slice(_d, greatest(j - _k, 0) + 1, least(j, _k)), y -> {better}))"
+    return _let(f"array_sort({found})", "_d", _let("coalesce(array_max(transform(_d, x -> -x.l - x.s)), 0)", "_len", _let(reach, "_k", kept)))
 
 
 def _rule_table(spec: list[tuple[int, str, str, str]]) -> str:
@@ -154,9 +166,9 @@ def _rule_table(spec: list[tuple[int, str, str, str]]) -> str:
 
 def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", spec: list[tuple[int, str, str, str]] | None = None) -> DataFrame:
     """Per document: id, ``n_words``, ``base`` (array of ``label, s``: places of the base phrases), ``found``
-    (the detections that remain: ``p, label, s, e`` in word positions) and ``score``, the largest priority
+    (the detections that remain: ``p, label, s, e`` in word positions, by start) and ``score``, the largest priority
     of a detection over 100. A NULL or empty text has no words and no detections. Labels are sorted and distinct; equal
-    detections of repeated rules count once."""
+    detections of repeated rules count once. Very long texts with many detections take time linear in both."""
     spec = rules() if spec is None else spec
     keys = sorted({k for _, _, k, _ in spec} | {p for p, _ in BASE})
     # cheap test on the raw text: a keyword starts here; alternatives are grouped by their first letter
@@ -171,15 +183,13 @@ def licenses(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sp
     # each keyword is looked for once, then the rules of those that occur are run
     names = "array(" + ",".join(f"'{k}'" for k in sorted({k for _, _, k, _ in spec})) + ")"
     found = f"""flatten(transform(flatten(transform(filter({names}, k -> contains(_n, ' ' || k)), k -> element_at({_rule_table(spec)}, k))), r -> transform({_places('_n', 'r.rx')},
-        x -> named_struct('p', r.p, 'i', r.i, 'label', r.label, 's', x.s, 'e', x.e))))"""
-    kept = """filter(_f, x -> not exists(_f, y -> y.i != x.i and y.s <= x.s and x.e <= y.e and (
-        y.p > x.p or (y.p = x.p and (y.e - y.s > x.e - x.s or (y.e - y.s = x.e - x.s and y.i < x.i))))))"""
-    out = low.withColumn("base", F.when(F.col("_n").isNotNull(), F.expr(base))).withColumn("_f", F.when(F.col("_n").isNotNull(), F.expr(found)))
-    return out.withColumn("found", F.expr(kept)).select(
+        x -> named_struct('s', x.s, 'l', -x.e, 'q', -r.p, 'i', r.i, 'label', r.label))))"""
+    out = low.withColumn("base", F.when(F.col("_n").isNotNull(), F.expr(base))).withColumn("_f", F.when(F.col("_n").isNotNull(), F.expr(_best(found))))
+    return out.select(
         "doc_id", "n_words", F.expr("coalesce(base, cast(array() as array<struct<label:string,s:int>>))").alias("base"),
-        F.expr("coalesce(transform(found, x -> named_struct('p', x.p, 'label', x.label, 's', x.s, 'e', x.e)), "
+        F.expr("coalesce(transform(_f, x -> named_struct('p', -x.q, 'label', x.label, 's', x.s, 'e', -x.l)), "
                "cast(array() as array<struct<p:int,label:string,s:int,e:int>>))").alias("found"),
-        F.expr("coalesce(array_max(transform(found, x -> x.p)), 0) / 100D").alias("score"))
+        F.expr("coalesce(array_max(transform(_f, x -> -x.q)), 0) / 100D").alias("score"))
 
 
 def digest(d: DataFrame) -> DataFrame:

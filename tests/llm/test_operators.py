@@ -622,6 +622,37 @@ def test_license_keywords_are_in_every_match(spark):
     assert [got[i].labels for i in range(4)] == ["gpl,lgpl-2", "no-distribution", "bsd", "no-distribution"]
 
 
+def brute_licenses(text):
+    """Every rule on every text, every pair of detections."""
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
+    norm, found = " " + "".join(x + " " for x in w), []
+    for i, (p, label, _, rx) in enumerate(licenses.rules()):
+        for m in re.finditer(rx[:-1] + "(?= )", norm):
+            found.append((p, i, label, norm[:m.start()].count(" "), norm[:m.start()].count(" ") + m.group().count(" ")))
+    size = lambda x: x[4] - x[3]
+    gone = lambda x: any(y[3] <= x[3] and x[4] <= y[4] and (y[0], size(y), -y[1]) > (x[0], size(x), -x[1]) for y in found)
+    return sorted((p, label, s, e) for p, i, label, s, e in found if not gone((p, i, label, s, e)))
+
+
+def test_licenses_against_brute_force(spark):
+    r, all_rules = random.Random(15), licenses.rules()
+    own = [None, "", " \x01 ", "cc by cc by cc by", "GNU Lesser General Public License version 2.1 or the GNU General Public License 2"]
+    for k in range(0, len(all_rules), 3):  # every rule once, close together so that detections overlap
+        own.append(" ".join(matches_of(rx, r).strip() + (" " + prose(r.randint(1, 3), r) if r.random() < 0.5 else "") for _, _, _, rx in all_rules[k:k + 3] + r.sample(all_rules, 3)))
+    own.append(" ".join(matches_of(r.choice(all_rules)[3], r).strip() for _ in range(150)))
+    got = rows_of(licenses.licenses(table(spark, own)))
+    for i, x in enumerate(own):
+        assert sorted((y.p, y.label, y.s, y.e) for y in got[i].found) == brute_licenses(x), x
+        assert got[i].score == max((y.p for y in got[i].found), default=0) / 100
+
+
+def test_licenses_of_a_text_full_of_detections(spark):
+    n = 30000
+    got = licenses.licenses(table(spark, ["under the MIT license " * n, "cc by " * n])).orderBy("doc_id").collect()
+    assert [(y.label, y.s, y.e) for y in got[0].found] == [z for k in range(n) for z in (("mit", 4 * k, 4 * k + 3), ("mit", 4 * k + 2, 4 * k + 4))]
+    assert [b.s for b in got[1].base] == list(range(0, 2 * n, 2)) and len(got[1].found) == n
+
+
 def test_statistics_of_odd_texts():
     import pyarrow as pa
 
