@@ -170,7 +170,10 @@ def hits_column(items: list[tuple[int, str]], piece: int = PIECE):
 def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id",
                  item_text_col: str = "text", piece: int = PIECE) -> DataFrame:
     """One row per document and item within the budget: doc_id, item_id, distance, budget, start, end (code
-    points of the text, end exclusive)."""
+    points of the text, end exclusive).
+
+    NULL and empty texts and items match nothing, items with a NULL id are left out, repeated document rows are reported once each and
+    repeated items once. Long texts are searched whole; empty tables give no row, other columns may have any name."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_t"))
     out = None
     for block in item_blocks(items, item_id_col, item_text_col):

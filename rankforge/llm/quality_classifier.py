@@ -100,7 +100,12 @@ def training_rows(stats: DataFrame, labels: DataFrame, id_col: str, label: str,
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
                    mod: int = 4, held: int = 2, threshold: float = 0.7, **params) -> DataFrame:
     """Per document: id, ``held_out``, ``score``, ``predicted``. Texts are read once; fit and scores use the
-    materialised statistics."""
+    materialised statistics.
+
+    One row per input row: repeated rows have equal scores; a NULL text counts as an empty one, a NULL id has the remainder of
+    the empty text and no label. Very long texts are read whole. A repeated id with a label trains once per row; of
+    conflicting labels the larger counts, NULL labels and ids are left out. Without labels every score is 0.5. An empty table gives no row;
+    only the id and the text are read, so other columns may have any name."""
     v = materialize(docs.select(F.col(id_col).alias("doc_id"), statistics(F.col(text_col)).alias("v")), "quality-vectors")
     model = fit(training_rows(v, labels, id_col, label, mod, held), **params)
     return v.select("doc_id", (id_remainder("doc_id", mod) == held).alias("held_out"), scorer(model)("v").alias("score")) \
@@ -110,7 +115,9 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "quality",
               mod: int = 4, held: int = 2, threshold: float = 0.7, **params) -> DataFrame:
     """The rows of ``docs``, all columns, whose score reaches the threshold. The fit reads at most
-    ``common.FIT_ROWS`` labelled rows, drawn by a hash of the id; texts are never shuffled."""
+    ``common.FIT_ROWS`` labelled rows, drawn by a hash of the id; texts are never shuffled.
+
+    Nulls, repeated rows and labels count as in ``quality_scores``; repeated rows stay or go together."""
     y = labelled_sample(labels, id_col, label, mod, held)
     own = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t")).join(y, F.col("_i") == F.col("_lid")).select("_y", statistics("_t").alias("v"))
     model = fit(own, **params)

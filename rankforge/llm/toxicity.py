@@ -200,7 +200,12 @@ def features(lexicon: dict[str, float]):
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label: str = "toxic",
                     mod: int = 5, held: int = 0, max_rows: int = 20_000, threshold: float = 0.5, **params) -> DataFrame:
-    """Per document: id, ``held_out``, ``score`` (calibrated probability), ``predicted``."""
+    """Per document: id, ``held_out``, ``score`` (calibrated probability), ``predicted``.
+
+    One row per input row: repeated rows have equal scores; a NULL text counts as an empty one, a NULL id has the remainder of
+    the empty text and no label. Very long texts are read whole. A repeated id with a label trains once per row; of
+    conflicting labels the larger counts, NULL labels and ids are left out. Without labels every score is 0.5. An empty table gives no row;
+    only the id and the text are read, so other columns may have any name."""
     lexicon, model = fit(docs, labels, id_col, text_col, label, mod, held, max_rows, **params)
 
     @F.arrow_udf(T.DoubleType())

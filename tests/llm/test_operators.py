@@ -622,6 +622,19 @@ def test_license_keywords_are_in_every_match(spark):
     assert [got[i].labels for i in range(4)] == ["gpl,lgpl-2", "no-distribution", "bsd", "no-distribution"]
 
 
+def test_scores_of_repeated_rows_and_null_ids(spark):
+    r = random.Random(16)
+    own = [prose(60, r) + (" shut up you fool" if i % 3 == 0 else "") for i in range(60)]
+    d = table(spark, [*own, own[0], None, "", own[5]], ids=[*range(60), 0, 60, 61, None])
+    lab = labels(spark, [(i, int(i % 4 > 0), int(i % 3 == 0), "t") for i in range(60)])
+    for f, mod, held in ((toxicity.toxicity_scores, 5, 0), (quality_classifier.quality_scores, 4, 2)):
+        got = f(d, lab).collect()
+        assert len(got) == 64 and all(0 <= x.score <= 1 for x in got)
+        of = {k: [x for x in got if x.doc_id == k] for k in (0, 5, 60, 61, None)}
+        assert of[0][0] == of[0][1] and of[60][0].score == of[61][0].score and of[None][0].score == of[5][0].score
+        assert of[None][0].held_out == (zlib.crc32(b"") % mod == held)
+
+
 def brute_licenses(text):
     """Every rule on every text, every pair of detections."""
     w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", ascii_lower(text or ""))
