@@ -52,7 +52,7 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", ["bm25_idf", "bm25_index_io"])
 def test_oracle_ends_under_a_limit(name):
-    """At sf0.01 a join of a CTE with its own mean never ended there."""
+    """At sf0.01 a join of a CTE with its own mean did not end within 40 s."""
     import threading
 
     import duckdb
