@@ -1,6 +1,6 @@
 """Steps whose memory, time or shuffled bytes grew faster than their input; keys may repeat or be NULL."""
 
-from rankforge.operators import vectors
+from rankforge.operators import synth, vectors
 
 
 def _plan(df):
@@ -20,3 +20,15 @@ def test_pairs_pass_by_their_vectors_unsorted(spark):
         assert "Sort" not in _plan(j)  # a task sorted all of its pairs before
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_generator_sends_a_term_once_a_block(spark):
+    text = "red blue blue green"
+    docs = spark.createDataFrame([(1, text), (2, "blue Red"), (2, "pink red"), (3, None), (None, "red pink"), (None, "pink"), (4, "a b")], "id long, product_text string")
+    got = {(r["id"], r["qpos"]): r["query"] for r in synth.generate_queries(docs, num_queries=2, window=2).collect()}
+    assert got[(1, 0)] == "red blue" and got[(1, 1)] == "green" and (got[(2, 0)], got[(2, 1)]) == ("blue pink", "red") and len(got) == 4
+    many = spark.range(3000).selectExpr("id", f"'{text}' as product_text")
+    ranked = synth.ranked_terms(many, k=2)
+    rows = ranked.collect()
+    assert len(rows) == 3000 and {(tuple(r["terms"]), tuple(r["ranks"])) for r in rows} == {(("blue", "green"), (1, 2))}
+    assert "SortMergeJoin" not in _plan(ranked) and "[term" not in " ".join(x for x in _plan(ranked).splitlines() if "Join" in x)  # every term of every document was joined
