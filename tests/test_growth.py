@@ -1,5 +1,7 @@
 """Steps whose memory, time or shuffled bytes grew faster than their input; keys may repeat or be NULL."""
 
+import pytest
+
 from rankforge.operators import synth, vectors
 
 
@@ -32,3 +34,11 @@ def test_generator_sends_a_term_once_a_block(spark):
     rows = ranked.collect()
     assert len(rows) == 3000 and {(tuple(r["terms"]), tuple(r["ranks"])) for r in rows} == {(("blue", "green"), (1, 2))}
     assert "SortMergeJoin" not in _plan(ranked) and "[term" not in " ".join(x for x in _plan(ranked).splitlines() if "Join" in x)  # every term of every document was joined
+
+
+def test_rows_are_encoded_where_they_are(spark):
+    docs = spark.createDataFrame([(1, "red blue blue a"), (2, None), (3, ""), (4, "Ünï_1 red")], "id long, text string")
+    own = synth.embed_rows(docs, "text", 8, "v")
+    assert "Exchange" not in _plan(own)
+    want = {r["id"]: r["v"] for r in synth.embed_texts(docs, "id", "text", dim=8, out="v").collect()}
+    assert all(r["v"] == pytest.approx(want[r["id"]]) and len(r["v"]) == 8 for r in own.collect())
