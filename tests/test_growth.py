@@ -2,7 +2,7 @@
 
 import pytest
 
-from rankforge.operators import synth, vectors
+from rankforge.operators import overlap, synth, vectors
 
 
 def _plan(df):
@@ -42,3 +42,13 @@ def test_rows_are_encoded_where_they_are(spark):
     assert "Exchange" not in _plan(own)
     want = {r["id"]: r["v"] for r in synth.embed_texts(docs, "id", "text", dim=8, out="v").collect()}
     assert all(r["v"] == pytest.approx(want[r["id"]]) and len(r["v"]) == 8 for r in own.collect())
+
+
+def test_rouge_sends_texts_not_grams(spark):
+    rows = [(1, "red blue red", "red red pink"), (2, None, "x"), (3, "", ""), (4, "a b\nc", "c a b"), (4, "a b", "a"), (None, "a", "a")]
+    df = spark.createDataFrame(rows, "k long, p string, r string")
+    whole = overlap.rouge(df, "k", "p", "r")
+    got = sorted((r["k"], round(r["rouge1"], 6), round(r["rouge2"], 6)) for r in whole.select("k", "rouge1", "rouge2").collect())
+    by_gram = [(r["k"], round(r["rouge1"], 6), round(r["rouge2"], 6)) for r in overlap.rouge_n(df, "k", "p", "r").collect()]
+    assert got == sorted([x for x in by_gram for _ in range(2 if x[0] == 4 else 1)])  # joined once more with the rows of the key
+    assert _plan(whole).count("Exchange hashpartitioning") == 1
