@@ -178,7 +178,7 @@ def _rouge_of_key(texts: list[dict]) -> list[dict]:
     return out
 
 
-@F.arrow_udf("array<struct<rouge1:double,rouge2:double,rougeL:double,rougeLsum:double>>")
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField(c, T.DoubleType()) for c in _ROUGE])))
 def _rouge_udf(texts: pa.Array) -> pa.Array:
     return pa.array([_rouge_of_key(t) for t in texts.to_pylist()], pa.list_(pa.struct([(c, pa.float64()) for c in _ROUGE])))
 
