@@ -1,7 +1,7 @@
 """Text-overlap metrics between a prediction and a reference text per row: ROUGE-1/2/L/Lsum, BLEU-4.
 
 N-gram overlap is relational: explode n-grams with counts per (row, side), equi join on
-(row, gram) and sum ``least(count_pred, count_ref)`` -- partial aggregation everywhere.
+(row, gram) and sum ``least(count_pred, count_ref)`` -- partial aggregation everywhere. ``rouge`` scores the texts of a key together instead.
 The longest common subsequence (ROUGE-L / Lsum) is a per-row dynamic programme; it runs in an
 Arrow-batched pandas UDF, bit-parallel: a table row is one integer of as many bits as the text has tokens.
 """
