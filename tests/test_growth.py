@@ -2,6 +2,7 @@
 
 import pytest
 
+import __spark_entry__ as E
 from rankforge.operators import overlap, synth, vectors
 
 
@@ -52,3 +53,21 @@ def test_rouge_sends_texts_not_grams(spark):
     by_gram = [(r["k"], round(r["rouge1"], 6), round(r["rouge2"], 6)) for r in overlap.rouge_n(df, "k", "p", "r").collect()]
     assert got == sorted([x for x in by_gram for _ in range(2 if x[0] == 4 else 1)])  # joined once more with the rows of the key
     assert _plan(whole).count("Exchange hashpartitioning") == 1
+
+
+def test_pairs_are_embedded_whole(spark, tmp_path):
+    """Each pair has its query's vector and its product's; only the queries' norms met the products."""
+    g = spark.createDataFrame([(1, ["red blue", "", "red blue", "a"]), (2, ["red"]), (2, ["red"]), (10, ["pink"]), (None, ["red"]), (3, None)], "id long, queries array<string>")
+    p = spark.createDataFrame([(1, [1.0, 2.0]), (2, [3.0, 4.0]), (2, None), (3, [1.0, 1.0])], "id long, product_embedding array<double>")
+    pairs = synth.embed_pairs(g, p, 8)
+    want = {r["t"]: r["v"] for r in synth.embed_texts(spark.createDataFrame([("red blue",), ("a",), ("red",), ("pink",)], "t string")
+                                                      .selectExpr("t", "t as text"), "t", "text", dim=8, out="v").collect()}
+    got = sorted(((r["id"] or 0, r["query"], r["product_embedding"] or []) for r in pairs.collect()), key=str)
+    assert got == sorted([(0, "red", []), (1, "a", [1.0, 2.0]), (1, "red blue", [1.0, 2.0]), (10, "pink", []), *[(2, "red", v) for v in ([3.0, 4.0], []) * 2]], key=str)
+    assert all(r["query_embedding"] is None if r["id"] is None else r["query_embedding"] == pytest.approx(want[r["query"]]) for r in pairs.collect())
+    spark.createDataFrame([(1, "red blue\n\nred blue"), (2, "a")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [1.0, 0.5], "x") for i in (1, 5, 10)], "vec_id long, embedding array<float>, label string").write.parquet(f"{tmp_path}/embeddings.parquet")
+    df = E.queries()["embed_pairs"](spark, str(tmp_path))
+    assert sorted(map(tuple, df.collect())) == [(1, "red blue", 1.0, True), (2, "a", 0.0, False)]
+    table = spark.read.parquet(next(f for f in df.inputFiles()).rsplit("/", 1)[0])
+    assert {r["id"]: (len(r["query_embedding"]), r["product_embedding"]) for r in table.collect()} == {1: (64, [1.0, 0.5]), 2: (64, None)}
