@@ -11,10 +11,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import release_shuffles
+
 TSV_OPTIONS = {"sep": "\t", "quote": '"', "escape": '"', "multiLine": "true", "nullValue": "",
                "emptyValue": "", "ignoreLeadingWhiteSpace": "false", "ignoreTrailingWhiteSpace": "false"}
 
@@ -63,19 +67,29 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
     return out
 
 
+#: Passages of the records that are written at a time.
+SLICE_ROWS = 1_000_000
+
+
 def write_triples(flat: DataFrame, path: str) -> None:
-    """Flat passages -> JSON lines, one record per query, each list ordered by ``pos`` then docid.
-    The file format asks for a query's whole lists in one line, so a record is as large as its query."""
+    """Flat passages -> gzipped JSON lines, one record per query, each list ordered by ``pos`` then docid.
+    The file format asks for a query's whole lists in one line, so a record is as large as its query. Every passage moves with its text to its
+    record: queries are dealt by a hash into slices, written one after another, so that only one slice's texts lie in shuffle files."""
     def passages(kind):
         items = F.collect_list(F.struct("kind", "pos", "docid", "text"))
         kept = F.array_sort(F.filter(items, lambda x: x["kind"] == F.lit(kind)))
         return F.transform(kept, lambda x: F.struct(x["docid"].alias("docid"), x["text"].alias("text"))) \
             .alias(f"{kind}_passages")
 
-    grouped = flat.groupBy("query_id").agg(
-        F.first("query", ignorenulls=True).alias("query"), passages("positive"), passages("negative"))
-    grouped.select("query_id", "query", "positive_passages", "negative_passages") \
-        .write.mode("overwrite").json(path)
+    slices = max(1, math.ceil(flat.count() / SLICE_ROWS))
+    for i in range(slices):
+        part = flat if slices == 1 else flat.filter(F.pmod(F.xxhash64("query_id"), F.lit(slices)) == i)
+        grouped = part.groupBy("query_id").agg(
+            F.first("query", ignorenulls=True).alias("query"), passages("positive"), passages("negative"))
+        grouped.select("query_id", "query", "positive_passages", "negative_passages") \
+            .write.mode("append" if i else "overwrite").option("compression", "gzip").json(path)
+        if slices > 1:
+            release_shuffles(flat.sparkSession)
 
 
 def write_parquet(df: DataFrame, path: str, compression: str = "gzip") -> None:
