@@ -1,5 +1,10 @@
 """Steps whose files on disk grew with the square of the input, or held every text several times at once; keys may repeat or be NULL."""
 
+import numpy as np
+import pyarrow as pa
+
+from rankforge.functions import vectors as V
+from rankforge.operators import vectors
 from rankforge.sources import io
 
 
@@ -15,3 +20,21 @@ def test_triples_are_written_gzipped_by_slices(spark, tmp_path, monkeypatch):
     whole, slices = (sorted(map(str, io.read_triples(spark, f"{tmp_path}/{x}").collect())) for x in ("whole", "slices"))
     assert whole == slices and len(whole) == 71
     assert all(f.endswith(".json.gz") for f in spark.read.json(f"{tmp_path}/slices").inputFiles())
+
+
+def test_pairs_are_packed_and_come_back_whole(spark, monkeypatch):
+    q, p = np.repeat(np.arange(100), 400), np.tile(np.arange(400), 100)
+    t = pa.RecordBatch.from_arrays([pa.array(q % 3), pa.array(q), pa.array(p), pa.array([f"n{x}" if x % 7 else None for x in p])], ["_block", "qid", "docid", "note"])
+    rows = [r for b in vectors._packed(iter([t.slice(0, 9000), t.slice(9000, 0), t.slice(9000)]), ["docid", "qid", "note"], 20_000) for r in b.to_pylist()]
+    assert {r["_block"] for r in rows} == {0, 1, 2} and len(rows) == 3  # the second piece ends the chunk
+    ids = [len(x) for b in vectors._packed(iter([t]), ["docid", "qid"], 20_000) for x in b.column("_data").to_pylist()]
+    assert sum(ids) < 40_000  # under a byte a pair; ids alone had sixteen before compression
+    got = {(r["_block"], *x.values()) for r in rows for x in vectors._unpacked(pa.chunked_array([[r["_data"]]], pa.binary())).to_pylist()}
+    assert got == {(int(a % 3), int(b), int(a), f"n{b}" if b % 7 else None) for a, b in zip(q, p, strict=True)}
+    vec = lambda name: spark.range(60).selectExpr(f"id as {name}", "array(double(id), 1.0) as v")
+    pairs = spark.range(60).selectExpr("id as qid", "explode(sequence(0, 59)) as docid", "id % 5 as k").repartition(3)
+    monkeypatch.setattr(vectors, "CHUNK", 100)
+    s = vectors.pair_scores(pairs, vec("qid"), vec("id"), V.dot, q_vec="v", p_vec="v", block=20)
+    assert sorted((r["qid"], r["docid"], r["k"], r["score"]) for r in s.collect()) == [(i, j, i % 5, i * j + 1.0) for i in range(60) for j in range(60)]
+    lines = [x for x in s._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(_block" in x]
+    assert len(lines) >= 2 and "FlatMapCoGroupsInArrow" in s._jdf.queryExecution().executedPlan().toString()
