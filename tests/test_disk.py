@@ -38,3 +38,27 @@ def test_pairs_are_packed_and_come_back_whole(spark, monkeypatch):
     assert sorted((r["qid"], r["docid"], r["k"], r["score"]) for r in s.collect()) == [(i, j, i % 5, i * j + 1.0) for i in range(60) for j in range(60)]
     lines = [x for x in s._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange hashpartitioning(_block" in x]
     assert len(lines) >= 2 and "FlatMapCoGroupsInArrow" in s._jdf.queryExecution().executedPlan().toString()
+
+
+def test_cosines_are_listed_where_they_are_made(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(40, 3))
+    q = spark.createDataFrame([*((i % 18, x[i].tolist()) for i in range(20)), (None, [1.0, 1.0, 1.0])], "qid long, query_embedding array<double>")
+    p = spark.createDataFrame([*((100 + i % 18, x[20 + i].astype("f4").tolist()) for i in range(20)), (130, None)], "id long, product_embedding array<double>")
+    pairs = spark.createDataFrame([(i, 100 + j) for i in range(20) for j in range(20) if (i + j) % 3] + [(1, 130), (2, 130), (1, 101), (None, 101), (1, None)], "qid long, docid long")
+    monkeypatch.setattr(vectors, "GROUP_PAIRS", 5)
+    own = vectors.semantic_similarity(pairs, q, p)
+    plan = own._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan.split("FlatMapCoGroupsInArrow")[0]  # scores were shuffled to their products
+    monkeypatch.setattr(vectors, "QUERY_BYTES", 0)
+    by_blocks = vectors.semantic_similarity(pairs, q, p)
+    assert "Aggregate" in by_blocks._jdf.queryExecution().executedPlan().toString().split("FlatMapCoGroupsInArrow")[0]
+    key = lambda r: (r["docid"], r["n_queries"], round(r["mean_cosine"], 9), [round(c, 9) + 0.0 for c in r["cosines"]])
+    got = sorted(map(key, own.collect()))
+    assert got == sorted(map(key, by_blocks.collect())) and own.dtypes == by_blocks.dtypes and len(got) == 19
+    assert vectors.semantic_similarity(pairs, q.limit(0), p).count() == 0
+
+
+def test_single_precision_only_where_it_holds(spark):
+    df = lambda rows: spark.createDataFrame(rows, "id long, v array<double>")
+    assert tuple(vectors._size(df([(1, [0.5, float("nan")]), (2, None), (3, [None, 2.0, 1.0])]), "v")) == (3, True, 3)
+    assert vectors._size(df([(1, [0.5]), (2, [0.1])]), "v")[1] is False and vectors._size(df([]), "v") == (0, True, 0)
