@@ -1,10 +1,12 @@
 """Steps whose files on disk grew with the square of the input, or held every text several times at once; keys may repeat or be NULL."""
 
+import os
+
 import numpy as np
 import pyarrow as pa
 
 from rankforge.functions import vectors as V
-from rankforge.operators import vectors
+from rankforge.operators import search, vectors
 from rankforge.sources import io
 
 
@@ -62,3 +64,21 @@ def test_single_precision_only_where_it_holds(spark):
     df = lambda rows: spark.createDataFrame(rows, "id long, v array<double>")
     assert tuple(vectors._size(df([(1, [0.5, float("nan")]), (2, None), (3, [None, 2.0, 1.0])]), "v")) == (3, True, 3)
     assert vectors._size(df([(1, [0.5]), (2, [0.1])]), "v")[1] is False and vectors._size(df([]), "v") == (0, True, 0)
+
+
+def test_accuracy_by_slices_equals_the_whole(spark, monkeypatch):
+    x = np.random.default_rng(8).normal(size=(60, 3))
+    q = spark.createDataFrame([(i, x[i].tolist()) for i in [*range(12), 3]] + [(None, [1.0, 1.0, 1.0]), (50, None)], "qid long, query_embedding array<double>")
+    c = spark.createDataFrame([(i, x[i].tolist()) for i in [*range(60), 7]] + [(None, [1.0, 0.0, 0.0])], "id long, product_embedding array<double>")
+    pairs = spark.createDataFrame([(i, j) for i in range(12) for j in range(i, 60, 3)] + [(2, 5), (2, 5), (50, 1), (None, 3)], "qid long, docid long")
+    counts = lambda a, b: search.greater_counts(a, c, vectors.pair_scores(b, a, c, V.dot, "own_score"))
+    whole = search.accuracy_by_slices(q, pairs, counts)
+    monkeypatch.setattr(search, "SLICE_PAIRS", 60)
+    kept = spark.conf.get("spark.checkpoint.dir")
+    before = {f for f in os.listdir(kept) if f.startswith("own-scores")}
+    slices = search.accuracy_by_slices(q, pairs, counts)
+    assert {f for f in os.listdir(kept) if f.startswith("own-scores")} == before  # the pairs of all queries lay there at once
+    assert slices.columns == whole.columns and [t for _, t in slices.dtypes] == [t for _, t in whole.dtypes]
+    assert [round(float(v), 12) for v in slices.first()] == [round(float(v), 12) for v in whole.first()] and whole.first()["n_pairs"] > 180
+    monkeypatch.setattr(search, "SLICE_PAIRS", 1)
+    assert tuple(search.accuracy_by_slices(q.limit(0), pairs.limit(2), counts).first()) == (None,) * 5 + (0,)
